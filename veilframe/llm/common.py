@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,22 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_veilframe_shipped", False):
+        return
+    package = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="veilframe-")) / "veilframe_package.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._veilframe_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,7 +84,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     """Join where null keys are equal; right's keys are dropped."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+    joined = left.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
 def text_or_empty(column: str = "text") -> Column:
