@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -53,8 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under one folder a session, which goes when the driver's Python ends."""
+    context = spark.sparkContext
+    root = getattr(context, "_veilframe_scratch", None)
+    if root is None:
+        root = context._veilframe_scratch = f"{shared_dir(spark)}/veilframe-{uuid.uuid4().hex}"
+        atexit.register(_remove_quietly, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone at exit
+        remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
