@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import cover_tree, jaccard, mixing, pieces, pii, quality_rules, token_files, url_lists, warc
+from veilframe.llm import classifier, cover_tree, jaccard, mixing, pieces, pii, quality_rules, token_files, url_lists, warc
 from veilframe.llm.common import table
 
 #: The key of the pseudonyms of op8 and of the pipeline; a deployment passes its own.
@@ -79,6 +79,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[f"n_{k}" for k in pii.KINDS])
 
 
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ def queries() -> dict:
         "op6_url_lists": op6_url_lists,
         "op7_token_files": op7_token_files,
         "op8_pii": op8_pii,
+        "op9_classifier": op9_classifier,
         "op10_jaccard": op10_jaccard,
     }
 
