@@ -9,12 +9,15 @@ link when their Jaccard similarity reaches a threshold. The join is exact:
    more slices than d allows to differ, so linked sets agree on a whole
    slice. A tile is the sets of a band that agree on a slice. A set joins the
    tiles of its own band, and of the band below if a partner could be there.
-3. Each tile's smallest node is its hub. Pairs with hubs pass if bit counts of
-   the two bitmap signatures allow enough overlap, then the sorted arrays are
-   intersected. Links make components.
+3. Each tile's first node is its hub, in one of a few orders of the nodes.
+   Pairs with hubs pass if bit counts of the two bitmap signatures allow
+   enough overlap, then the sorted arrays are intersected. Links make
+   components.
 4. Tiles whose members are all in one component are done: a dense group of
-   near copies costs one pair a member, not all pairs. In the other tiles,
+   near copies costs a few pairs a member, not all pairs. In the other tiles,
    pairs from different components go the same way (bit counts, then exact).
+   A large tile is dealt in pairs of blocks, so that no task holds more than
+   two blocks of it.
 
 Texts of candidates are fetched by document and travel compressed; sets are
 made again from them, so that no table of whole sets is ever stored.
@@ -27,8 +30,10 @@ table gives an empty result; extra columns don't matter.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,11 @@ NUMERATOR, DENOMINATOR = 90, 100
 #: A band's upper size by its lower; slices beyond the least number, so that empty slices needn't make tiles.
 BAND_RATIO = 1.5
 SPARE = 1
+#: Bits of a signature for each element, about: many, so that the bound is close to the overlap.
+BITS = 8
+#: Orders of nodes by which tiles choose hubs, and members of a block of a tile whose pairs are compared in one go.
+ORDERS = 8
+BLOCK = 512
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 400_000
 
@@ -87,6 +97,15 @@ def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.nd
     return np.unique(total)
 
 
+@cache
+def _lowers(least: int) -> list[int]:
+    """The bands' lower sizes, to beyond any text's."""
+    out = [least]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * BAND_RATIO))))
+    return out
+
+
 @dataclass(frozen=True)
 class Bands:
     """Size bands and their slices for a threshold numerator/denominator."""
@@ -99,17 +118,11 @@ class Bands:
         return -(-self.numerator // (self.denominator - self.numerator))
 
     def lower(self, band: int) -> int:
-        low = self.least()
-        for _ in range(band):
-            low = max(low + 1, int(np.ceil(low * BAND_RATIO)))
-        return low
+        return _lowers(self.least())[band]
 
     def of(self, size: int) -> int:
         """The band of a size, -1 under all."""
-        band, low = -1, self.least()
-        while size >= low:
-            band, low = band + 1, max(low + 1, int(np.ceil(low * BAND_RATIO)))
-        return band
+        return bisect_right(_lowers(self.least()), size) - 1
 
     def slices(self, band: int) -> int:
         most = (self.lower(band + 1) - 1) * (self.denominator - self.numerator) // self.numerator
@@ -147,10 +160,8 @@ def tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """A signature of twice the band's upper size in bits, to the next power of two, as 64-bit words."""
-    bits = 64
-    while bits < 2 * bands.lower(bands.of(len(h)) + 1):
-        bits *= 2
+    """A signature of BITS times the band's upper size in bits, to the next power of two, as 64-bit words."""
+    bits = max(64, 1 << (BITS * bands.lower(bands.of(len(h)) + 1) - 1).bit_length())
     set_bits = np.zeros(bits, np.uint8)
     set_bits[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(set_bits, bitorder="little").view(np.uint64)
@@ -253,6 +264,65 @@ def _may_link(a: str, b: str, numerator: int, denominator: int) -> Column:
     return F.when(~sizes, F.lit(False)).otherwise((denominator + numerator) * bound >= numerator * (n_a + n_b))
 
 
+def _across(numerator: int, denominator: int):
+    """Rows of blocks of tiles, neighbours by (tile, low, high), to the pairs (a, b) of different labels that bit counts let pass.
+
+    A group holds the members of two blocks of a tile, or of one.
+    """
+
+    def passing(rows: dict[str, list]) -> Iterator[tuple[int, int]]:
+        node, label = np.array(rows["node"], np.int64), np.array(rows["label"], np.int64)
+        n, block = np.array(rows["n"], np.int64), np.array(rows["block"], np.int64)
+        if label.min() == label.max():
+            return
+        width = min(len(x) for x in rows["bits"])
+        bits = np.stack([np.bitwise_or.reduce(np.asarray(x, np.int64).view(np.uint64).reshape(-1, width), axis=0) for x in rows["bits"]])
+        one_block = rows["low"][0] == rows["high"][0]
+        for i in range(len(node)):
+            other = (label != label[i]) & (denominator * np.minimum(n, n[i]) >= numerator * np.maximum(n, n[i]))
+            other &= (node > node[i]) if one_block else (block > block[i])
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            only_i = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64)
+            only_other = np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(n[i] - only_i, n[at] - only_other)
+            for j in at[(denominator + numerator) * bound >= numerator * (n[at] + n[i])].tolist():
+                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # pairs that this task has let pass; only saves repetition
+        rest: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
+            keys = np.stack([table.column(c).to_numpy() for c in ("tile", "low", "high")])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            ends = np.r_[starts[1:], table.num_rows]
+            whole = len(starts) if last else len(starts) - 1
+            out = []
+            for a, b in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
+                if b - a > 1:
+                    out.extend(p for p in passing(table.slice(a, b - a).to_pydict()) if p not in seen)
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.update(out[-BLOCK * BLOCK :])
+            return out, table.slice(int(starts[whole]) if whole < len(starts) else table.num_rows)
+
+        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None or not rest.num_rows else pa.concat_tables([rest, table])
+            if table.num_rows:
+                pairs, rest = groups(table, last=False)
+                yield made(pairs)
+        if rest is not None and rest.num_rows:
+            yield made(groups(rest, last=True)[0])
+
+    return run
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, written."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
@@ -283,30 +353,34 @@ def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator:
         return jaccard_components(docs, numerator, denominator, seed + 1)
 
     placed = sets.select("node", F.explode("tiles").alias("tile"))
-    hubs = placed.groupBy("tile").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where(F.col("hub") != F.col("last")).select("tile", "hub")
-    members = written(placed.join(lookup(written(hubs, "hubs")), "tile").distinct(), "members")
+    order = F.xxhash64(F.pmod("tile", F.lit(ORDERS)))
+    ordered = F.col("node").bitwiseXOR(order)
+    hubs = placed.groupBy("tile").agg(F.min(ordered).alias("first"), F.max(ordered).alias("last")).where(F.col("first") != F.col("last"))
+    hubs = hubs.select("tile", F.col("first").bitwiseXOR(order).alias("hub"))
+    members = written(placed.join(written(hubs, "hubs"), "tile").distinct(), "members")
 
     signature = written(
         sets.where(F.size("bits") > 0).join(lookup(written(members.select("node").distinct(), "member_nodes")), "node", "left_semi").groupBy("node").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("s")),
         "signatures",
     )
-    stars = members.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    of = lambda side: signature.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"))
+    stars = members.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def of(side: str) -> DataFrame:
+        return signature.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"))
+
     likely = stars.join(of("a"), "a").join(of("b"), "b").where(_may_link("s_a", "s_b", numerator, denominator))
     links = _exact(likely, docs, nodes, seed, numerator, denominator)
     labels = components(links)
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(lookup(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    placed_label = written(labelled(members), "placed")
-    mixed_tiles = lookup(written(placed_label.groupBy("tile").agg(F.min("label").alias("p"), F.max("label").alias("q")).where(F.col("p") != F.col("q")).select("tile"), "mixed"))
-    open_ = written(placed_label.join(mixed_tiles, "tile").where(F.col("node") != F.col("hub")).join(signature, "node"), "open")
-    left, right = open_.alias("x"), open_.alias("y")
-    across = left.join(
-        right,
-        (F.col("x.tile") == F.col("y.tile")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x.s", "y.s", numerator, denominator),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    placed_label = written(members.join(lookup(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    open_tiles = placed_label.groupBy("tile").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("members")).where(F.col("p") != F.col("q"))
+    open_tiles = lookup(written(open_tiles.select("tile", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open_tiles"))
+    blocked = placed_label.select("tile", "node", "label").join(open_tiles, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label")
+    signed = dealt.join(signature.select("node", "s.n", "s.bits"), "node")
+    rows = signed.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    across = rows.select("tile", "low", "high", "block", "node", "label", "n", "bits").mapInArrow(_across(numerator, denominator), "a long, b long")
     more = _exact(across, docs, nodes, seed, numerator, denominator)
     final = components(links.union(more))
 
