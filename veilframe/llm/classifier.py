@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import written
+from veilframe.llm.common import sliced, written
 
 BUCKETS, MARKERS, WIDTH, NONZERO = 1 << 14, 256, 32, 4
 WINDOW = 2
@@ -89,7 +89,7 @@ def _accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total, known = np.zeros(_SIZE * WIDTH), Tokens()
     seen = False
-    for batch in batches:
+    for batch in sliced(batches, 1024):
         bucket, marker, doc = tokens_of(batch.column("text").to_pylist(), known)
         seen = seen or bool(len(doc))
         pairs = [(marker, bucket)]
@@ -205,7 +205,7 @@ def held_out(doc_id: str = "doc_id"):
 def _features(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             x = pooled(batch.column("text").to_pylist(), vectors.value, known)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -215,7 +215,7 @@ def _features(vectors):
 def _scores(vectors, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             scores = model.value.scores(pooled(batch.column("text").to_pylist(), vectors.value, known))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]

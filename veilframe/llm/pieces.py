@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilframe.llm.common import sliced
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 N_BEST = 3
@@ -237,7 +239,7 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
             model = Pieces.load(path, n)
             _MODELS[path, n] = (model, Speller(model))
         model, speller = _MODELS[path, n]
-        for batch in batches:
+        for batch in sliced(batches):
             rows, place = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 plain = (text or "").replace(SPACE, " ")

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import lookup, scratch, written
+from veilframe.llm.common import lookup, scratch, sliced, written
 
 #: Fixed values of the public formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -183,7 +183,7 @@ def _files(path: str, dtype: str, end_id: int):
             held.clear()
             return made
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids = chunks.texts(batch.column("text").to_pylist())
             for part, doc_id, each in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), ids, strict=True):
                 if held and (part != current or size + len(each) > FILE_BYTES):
