@@ -50,6 +50,10 @@ FILE_BYTES = 8 << 20
 RANGE_TEXT_BYTES = 12 << 20
 CHUNKS_KEPT = 300_000
 
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on, in order.
+_PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTING))}
+
 _DOC = np.dtype([("doc_id", "<i8"), ("tokens", "<u8"), ("frame", "<u4"), ("flags", "<u4")])
 
 
@@ -67,25 +71,45 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
+        self.has_words = True
+        probe = "Zürich wörter éléphant straße plain ÑANDÚES"
+        self.has_words = b"".join(self.word(w.encode()) or b"" for w in probe.split()) == self.encode([probe])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, chunk: bytes) -> bytes | None:
+        """The ids of a chunk of Latin-1 letters only, from the tokenizer's model, which is much faster than its pipeline.
+
+        For such a chunk the pipeline only lowers case and writes each byte as
+        the byte-level alphabet's character. None for other chunks.
+        """
+        if not self.has_words:
+            return None
+        text = chunk.decode("utf-8", "surrogatepass")
+        if not text.isalpha() or max(text) > "\xff":
+            return None
+        found = self.tokenizer.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_CHARS))
+        return np.array([t.id for t in found], self.dtype).tobytes()
+
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > CHUNKS_KEPT:
-            self.clear()
         marked = {c for c in chunks if c[-1:] in b".,!?;:" and c[-2:-1].isalpha()}
         new = [c for c in (chunks - marked) | {c[:-1] for c in marked} | {c[-1:] for c in marked} if c not in self]
+        words = {c: w for c in new if (w := self.word(c)) is not None}
+        self.update(words)
+        new = [c for c in new if c not in words]
         self.update(zip(new, self.encode([c.decode("utf-8", "surrogatepass") for c in new]), strict=True))
         self.update((c, self[c[:-1]] + self[c[-1:]]) for c in marked)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts. Texts with a special token's first characters go to the tokenizer as they are."""
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() if "<|" not in (t or "") else None for t in texts]
-        missing = {c for chunks in split if chunks for c in chunks if c not in self}
+        chunks_here = set().union(*(chunks for chunks in split if chunks))
+        missing = chunks_here.difference(self)
         if missing:
             if len(self) + 2 * len(missing) > CHUNKS_KEPT:
-                missing = {c for chunks in split if chunks for c in chunks}
+                self.clear()
+                missing = chunks_here
             self.learn(missing)
         get = self.__getitem__
         return [b"".join(map(get, chunks)) if chunks is not None else self.encode([t])[0] for chunks, t in zip(split, texts, strict=True)]
