@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters that trimming removes, as a class both engines know.
-TRIMMED = r"[\t\n\x0B\f\r \u0085   -     　]+"
+TRIMMED = r"[\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 class Normalizer(IntEnum):

@@ -228,6 +228,21 @@ def checked(entity: EntityBuilder) -> EntitySpec:
     return EntitySpec(entity.name, logical, entity.schema, fields, frozenset(merged) - frozenset(secret))
 
 
+_BY_NAME = {
+    "string": T.StringType(), "binary": T.BinaryType(), "int": T.IntegerType(), "long": T.LongType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+}
+
+
+def simple_schema(text: str) -> T.StructType:
+    """A schema of plain types, as "name type, ..."; unlike Spark's parser this needs no session."""
+    columns = [c.split() for c in text.split(",")]
+    for c in columns:
+        if len(c) != 2 or c[1] not in _BY_NAME:
+            raise SpecError(f"give a StructType for '{' '.join(c)}'")
+    return T.StructType([T.StructField(name, _BY_NAME[kind]) for name, kind in columns])
+
+
 class Catalogue:
     """Entities, fixed by finish()."""
 
@@ -237,7 +252,7 @@ class Catalogue:
 
     def entity(self, name: str, schema: T.StructType | str) -> EntityBuilder:
         """Declares an entity by name and the schema of its plain form."""
-        made = EntityBuilder(name, schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+        made = EntityBuilder(name, schema if isinstance(schema, T.StructType) else simple_schema(schema))
         return self._add(made)
 
     def annotated(self, cls: type, schema: T.StructType | None = None) -> EntityBuilder:

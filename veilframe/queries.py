@@ -47,11 +47,10 @@ def catalogue() -> Catalogue:
 
 CATALOGUE = catalogue()
 CUSTOMER = CATALOGUE["Customer"]
-_EMAIL = F.concat(F.lower("c_name"), F.lit("@example.com"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").withColumn("email", _EMAIL).withColumn("note", F.lit("customer")).select(*CUSTOMER.schema.names)
+    return table(spark, sf_dir, "customer").withColumn("email", F.concat(F.lower("c_name"), F.lit("@example.com"))).withColumn("note", F.lit("customer")).select(*CUSTOMER.schema.names)
 
 
 def stored(df: DataFrame, spec: EntitySpec, name: str) -> DataFrame:
