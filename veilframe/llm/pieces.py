@@ -6,9 +6,9 @@ forward Viterbi score of each place is the exact heuristic of what is still
 to come: paths complete in the order of their scores.
 
 A text falls apart at every place that no piece spans (the two characters
-there are neighbours in no piece). Each part has a lattice of its own. Forward
-and backward Viterbi scores give its best path and the loss of its second
-best, which are kept; the n best of a text differ from the best only in the
+there are neighbours in no piece). Each part has a lattice of its own. The two
+best Viterbi scores give its best path and the loss of its second best, which
+are kept; the n best of a text differ from the best only in the
 n - 1 parts with the smallest losses, and those are searched.
 
 The model's normalisation is the plain one: a space is put first, and spaces
@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,23 @@ from veilframe.llm.common import sliced
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 N_BEST = 3
+LITTLE = sys.byteorder == "little"
 #: Parts whose segmentations a worker keeps.
-PARTS_KEPT = 200_000
+PARTS_KEPT = 250_000
+
+
+class Kept(dict):
+    """Results of a function, kept for up to PARTS_KEPT arguments."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str):
+        if len(self) >= PARTS_KEPT:
+            self.clear()
+        found = self[part] = self.make(part)
+        return found
 
 
 class Pieces:
@@ -53,13 +70,18 @@ class Pieces:
         self.bytes = {i: b for b, i in enumerate(byte_ids)}
         joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
         self.joined = joined
-        #: Pieces, and their beginnings with None: a walk along a text stops where neither is found.
-        self.walk: dict[str, tuple[int, float] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | pieces
+        #: A trie of the pieces: nodes are (children by character, id or None, score).
+        self.trie: dict = {}
+        for piece, (i, score) in sorted(pieces.items()):
+            kids = self.trie
+            for c in piece[:-1]:
+                kids = kids.setdefault(c, ({}, None, 0.0))[0]
+            kids[piece[-1]] = (kids[piece[-1]][0] if piece[-1] in kids else {}, i, score)
         alone = {c for c in SPACE + "\n" if not any(c in x[1:] and x[0] != c for x in joined)}
         # spaces with what follows are parts to begin with; parts are cut further when they are learnt
         self.first_cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if alone == {SPACE, "\n"} else re.compile(r"[\s\S]+")
-        self.kept: dict[str, tuple[bytes, float, float]] = {}
-        self.atoms: dict[str, tuple[bytes, float, float]] = {}
+        self.kept = Kept(self.of_part)
+        self.atoms = Kept(self.of_atom)
 
     @classmethod
     def load(cls, path: str, n: int = N_BEST) -> Pieces:
@@ -70,42 +92,42 @@ class Pieces:
         normal = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         return cls(normal, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n)
 
-    def lattice(self, part: str) -> tuple[list[list[tuple[int, float, int | None]]], list[float], list[tuple[int, float, int | None]]]:
-        """The edges (start, score, id or None for an unknown character) by their end; the forward Viterbi scores; the best edge into each end."""
-        size, walk, unknown = len(part), self.walk, self.unknown
+    def lattice(self, part: str) -> tuple[list[list[tuple[int, float, int | None]]], list[float]]:
+        """The edges (start, score, id or None for an unknown character) by their end, and the forward Viterbi scores."""
+        size = len(part)
         forward = [0.0] + [-1e300] * size
         edges: list = [[] for _ in range(size + 1)]
-        into: list = [None] * (size + 1)
         for i in range(size):
-            here, j = forward[i], i + 1
-            found = walk.get(part[i:j], unknown)
-            if not found or found is unknown:
-                edge = (i, unknown, None)
-                edges[j].append(edge)
-                if here + unknown > forward[j]:
-                    forward[j], into[j] = here + unknown, edge
-            while found is not unknown:
-                if found:
-                    edge = (i, found[1], found[0])
-                    edges[j].append(edge)
-                    total = here + found[1]
-                    if total > forward[j]:
-                        forward[j], into[j] = total, edge
-                j += 1
-                if j > size:
-                    break
-                found = walk.get(part[i:j], unknown)
-        return edges, forward, into
+            for j, score, piece in self.steps(part, i):
+                edges[j].append((i, score, piece))
+                forward[j] = max(forward[j], forward[i] + score)
+        return edges, forward
+
+    def steps(self, part: str, i: int) -> list[tuple[int, float, int | None]]:
+        """(end, score, id) of the pieces that begin at place i; a character without a piece makes one of its own."""
+        out: list = []
+        kids, j, size = self.trie, i, len(part)
+        while j < size and (node := kids.get(part[j])) is not None:
+            kids, piece, score = node
+            j += 1
+            if piece is not None:
+                out.append((j, score, piece))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, self.unknown, None))
+        return out
 
     def ids_of(self, part: str, path: list[tuple[int, float, int | None]]) -> bytes:
         ids: list[int] = []
         for start, _, piece in path:
-            ids.extend((piece,) if piece is not None else (self.byte_ids[b] for b in part[start].encode("utf-8", "surrogatepass")))
-        return np.array(ids, "<i4").tobytes()
+            if piece is not None:
+                ids.append(piece)
+            else:
+                ids.extend([self.byte_ids[b] for b in part[start].encode("utf-8", "surrogatepass")])
+        return array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes()
 
     def search(self, part: str) -> list[tuple[float, bytes]]:
         """The n best (score, ids) of one lattice, by A* from its end."""
-        edges, forward, _ = self.lattice(part)
+        edges, forward = self.lattice(part)
         size = len(part)
         # (minus the score of the whole path, starts from the end, place, score so far, edges from the end)
         queue: list = [(-forward[size], (), size, 0.0, ())]
@@ -120,32 +142,42 @@ class Pieces:
                 heapq.heappush(queue, (-(so_far + forward[edge[0]]), (*starts, edge[0]), edge[0], so_far, (*path, edge)))
         return out
 
-    def atom(self, part: str) -> tuple[bytes, float, float]:
-        """(ids, score) of a lattice's best path, and what the second best loses: the least loss of an edge off the best path."""
-        found = self.atoms.get(part)
-        if found is not None:
-            return found
-        edges, forward, into = self.lattice(part)
-        size = len(part)
+    def of_atom(self, part: str) -> tuple[bytes, float, float]:
+        """(ids, score) of a lattice's best path, and what the second best loses, by the two best Viterbi scores of each place."""
+        size, trie, unknown = len(part), self.trie, self.unknown
+        best, second = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
+        into: list = [None] * (size + 1)
+        for i in range(size):
+            here, next_here = best[i], second[i]
+            kids, j, lone = trie, i, True
+            while j < size:
+                node = kids.get(part[j])
+                if node is None:
+                    break
+                kids, piece, score = node
+                j += 1
+                if piece is not None:
+                    if j == i + 1:
+                        lone = False
+                    total = here + score
+                    if total > best[j]:
+                        second[j] = max(best[j], next_here + score)
+                        best[j], into[j] = total, (i, score, piece)
+                    elif total > second[j]:
+                        second[j] = total
+            if lone:
+                j = i + 1
+                total = here + unknown
+                if total > best[j]:
+                    second[j] = max(best[j], next_here + unknown)
+                    best[j], into[j] = total, (i, unknown, None)
+                elif total > second[j]:
+                    second[j] = total
         path, at = [], size
         while at:
             path.append(into[at])
             at = into[at][0]
-        best, on_path = forward[size], set(map(id, path))
-        behind = [-1e300] * size + [0.0]
-        loss = float("inf")
-        for end in range(size, 0, -1):
-            rest = behind[end]
-            for edge in edges[end]:
-                start, score, _ = edge
-                if rest + score > behind[start]:
-                    behind[start] = rest + score
-                if id(edge) not in on_path:
-                    loss = min(loss, best - (forward[start] + score + rest))
-        if len(self.atoms) >= PARTS_KEPT:
-            self.atoms.clear()
-        found = self.atoms[part] = (self.ids_of(part, path[::-1]), best, loss)
-        return found
+        return self.ids_of(part, path[::-1]), best[size], best[size] - second[size] if second[size] > -1e200 else float("inf")
 
     def cut(self, part: str) -> list[str]:
         """The atoms of a part: it is cut where no piece spans."""
@@ -157,16 +189,10 @@ class Pieces:
         out.append(part[start:])
         return out
 
-    def known(self, part: str) -> tuple[bytes, float, float]:
+    def of_part(self, part: str) -> tuple[bytes, float, float]:
         """(ids, score, loss of the second best) of a part."""
-        found = self.kept.get(part)
-        if found is None:
-            atoms = [self.atom(x) for x in self.cut(part)]
-            found = atoms[0] if len(atoms) == 1 else (b"".join([x[0] for x in atoms]), sum([x[1] for x in atoms]), min([x[2] for x in atoms]))
-            if len(self.kept) >= PARTS_KEPT:
-                self.kept.clear()
-            self.kept[part] = found
-        return found
+        atoms = list(map(self.atoms.__getitem__, self.cut(part)))
+        return atoms[0] if len(atoms) == 1 else (b"".join([x[0] for x in atoms]), sum([x[1] for x in atoms]), min([x[2] for x in atoms]))
 
     def n_best_of_part(self, part: str) -> list[tuple[float, bytes]]:
         """The n best (score, ids) of a part, its atoms' n best combined."""
@@ -188,7 +214,7 @@ class Pieces:
         if not text:
             return [(0.0, np.empty(0, "<i4"))]
         parts = self.first_cut.findall(SPACE + text.replace(" ", SPACE))
-        known = list(map(self.known, parts))
+        known = list(map(self.kept.__getitem__, parts))
         base = sum([x[1] for x in known])
         losses = np.array([x[2] for x in known])
         order = np.argsort(losses, kind="stable")[: self.n - 1]
