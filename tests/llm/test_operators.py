@@ -214,6 +214,9 @@ def test_pseudonyms(spark):
     assert (got[3].text, got[4].text, got[5].text) == (None, "", rows[4][1])
     assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1, 1, 1, 1]
     assert [got[5][f"n_{k}"] for k in pii.KINDS] == [0] * 7
+    marked = spark.createDataFrame([(1, "an cióNé.34@mail7.example.com,")], "doc_id long, text string")
+    local = pii.pseudonymise(marked, "k").first().text
+    assert local.startswith("an ") and local.endswith("@mail7.example.com,") and "ció" not in local and "34" not in local
     other = pii.pseudonymise(docs, "another").where("doc_id = 1").first().text
     assert other != new
 

@@ -14,7 +14,8 @@ that equal values stay equal across documents and nothing needs a table:
 * ssn: three, two and four digits with dashes, with an area that is assigned;
   the nine digits are permuted.
 * email: the letters and digits of the local part are permuted within their
-  own class (small and capital letters, digits); the domain stays.
+  own class (small and capital letters, with and without Latin-1's marks,
+  digits); the domain stays.
 * secret: 32 to 64 hexadecimal digits of one case with both letters and
   digits, after a name like token, key, secret or password; the digits are
   permuted.
@@ -42,7 +43,7 @@ FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
 
 #: Fixed values, one pattern a kind: what may not stand before a value, and the value. Later kinds don't match inside earlier ones' matches.
 KINDS = {
-    "email": ("", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": ("", r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "secret": ("", r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"),
     "ip": (r"(?<![0-9.])", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     "date": (r"(?<![0-9])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"),
@@ -114,6 +115,7 @@ def permute_string(key: Column, kind: str, value: Column, alphabets: tuple[str,
 
 
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SMALL_MARKED, CAPITAL_MARKED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 
 
 def _luhn_sum(digits: Column, last_doubled: int) -> Column:
@@ -196,7 +198,7 @@ def _ssn(key: Column, m: Column) -> Column:
 
 def _email(key: Column, m: Column) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(permute_string(key, "email", local, (DIGITS, SMALL, CAPITAL)), F.substring(m, F.char_length(local) + 1, F.char_length(m)))
+    return F.concat(permute_string(key, "email", local, (DIGITS, SMALL, CAPITAL, SMALL_MARKED, CAPITAL_MARKED)), F.substring(m, F.char_length(local) + 1, F.char_length(m)))
 
 
 def _secret(key: Column, m: Column) -> Column:
