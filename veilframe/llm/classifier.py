@@ -27,6 +27,7 @@ counts; without labels of both kinds all scores are the share of label 1, or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ class Tokens(dict):
         return found
 
 
+@cache
+def known_tokens() -> Tokens:
+    """The tokens of a worker process, whatever its tasks (tasks find them by this function's name)."""
+    return Tokens()
+
+
 def tokens_of(texts: list[str | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, marker, document) of every token of a batch; a repeated token has marker 192 and more."""
     split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
@@ -87,7 +94,7 @@ def tokens_of(texts: list[str | None], known: Tokens) -> tuple[np.ndarray, np.nd
 def _accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of one task, as rows (slice, sums)."""
     places, signs = index_vectors()
-    total, known = np.zeros(_SIZE * WIDTH), Tokens()
+    total, known = np.zeros(_SIZE * WIDTH), known_tokens()
     seen = False
     for batch in sliced(batches, 1024):
         bucket, marker, doc = tokens_of(batch.column("text").to_pylist(), known)
@@ -204,7 +211,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def _features(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens()
+        known = known_tokens()
         for batch in sliced(batches, 1024):
             x = pooled(batch.column("text").to_pylist(), vectors.value, known)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
@@ -214,7 +221,7 @@ def _features(vectors):
 
 def _scores(vectors, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens()
+        known = known_tokens()
         for batch in sliced(batches, 1024):
             scores = model.value.scores(pooled(batch.column("text").to_pylist(), vectors.value, known))
             yield pa.RecordBatch.from_arrays(

@@ -83,6 +83,12 @@ class WordHashes(dict):
         return found
 
 
+@cache
+def word_hashes(seed: int) -> WordHashes:
+    """The words of a worker process, whatever its tasks (tasks find them by this function's name)."""
+    return WordHashes(seed)
+
+
 def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles. bytes.lower and bytes.split know ASCII only, as wanted."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -169,7 +175,7 @@ def bitmap(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _signatures(seed: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(seed), set()  # copies of a set in one task make tiles once
+        hashes, seen = word_hashes(seed), set()  # copies of a set in one task make tiles once
         for batch in batches:
             sizes, nodes, keys, all_tiles, maps = [], [], [], [], []
             for text in batch.column("text"):
@@ -199,7 +205,7 @@ def _packed(seed: int):
     """Rows (node, text): the compressed texts of those whose set has that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack = WordHashes(seed), zstandard.ZstdCompressor(level=3)
+        hashes, pack = word_hashes(seed), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             nodes, blobs = [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -216,7 +222,7 @@ def _linked(seed: int, numerator: int, denominator: int):
     """Of rows (a, b, packed_a, packed_b), the pairs that link. Neighbouring rows share b, whose set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(seed), zstandard.ZstdDecompressor()
+        hashes, unpack = word_hashes(seed), zstandard.ZstdDecompressor()
         kept, x = None, None
 
         def made(blob: bytes) -> np.ndarray:

@@ -31,6 +31,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +253,12 @@ class Speller(dict):
         return text[1:] if text.startswith(" ") else text
 
 
-_MODELS: dict[tuple[str, int], tuple[Pieces, Speller]] = {}
+@cache
+def loaded(path: str, n: int) -> tuple[Pieces, Speller]:
+    """One model with its parts for a worker process, whatever its tasks (tasks find it by this function's name)."""
+    model = Pieces.load(path, n)
+    return model, Speller(model)
+
 
 SCHEMA = "rank int, score double, n_pieces long, ids_crc32 long, decoded_equal boolean, ids array<int>"
 
@@ -261,10 +267,7 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
     """Batches with text to a row for each segmentation. decoded_equal compares with the text, with U+2581 read as a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, n) not in _MODELS:
-            model = Pieces.load(path, n)
-            _MODELS[path, n] = (model, Speller(model))
-        model, speller = _MODELS[path, n]
+        model, speller = loaded(path, n)
         for batch in sliced(batches):
             rows, place = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

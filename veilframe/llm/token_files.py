@@ -28,6 +28,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,15 +190,17 @@ class TokenFile:
         return np.frombuffer(self.frame(k), self.dtype)[skip : skip + int(self.docs["tokens"][place])]
 
 
-_TOKENIZERS: dict[tuple[str, str], ChunkIds] = {}
+@cache
+def chunk_ids(path: str, dtype: str) -> ChunkIds:
+    """One tokenizer with its chunks for a worker process, whatever its tasks (tasks find it by this function's name)."""
+    return ChunkIds(path, dtype)
 
 
 def _files(path: str, dtype: str, end_id: int):
     """Sorted rows (range, doc_id, text) to rows (file_name, value): a file for each range, or more if one grows too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _TOKENIZERS.setdefault((path, dtype), None) or ChunkIds(path, dtype)
-        _TOKENIZERS[path, dtype] = chunks
+        chunks = chunk_ids(path, dtype)
         end, width = np.asarray([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         held: list[tuple[int | None, bytes]] = []
         size, current = 0, None
