@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     if root is None:
         root = context._veilframe_scratch = f"{shared_dir(spark)}/veilframe-{uuid.uuid4().hex}"
         atexit.register(_remove_quietly, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    getattr(context, "_veilframe_open", []).append(path)
+    return path
 
 
 def _remove_quietly(spark: SparkSession, path: str) -> None:
@@ -70,3 +73,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path in the shared folder through Hadoop's file system."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make returns, written; the tables that were written on the way are deleted."""
+    context = spark.sparkContext
+    outer, made = getattr(context, "_veilframe_open", []), []
+    context._veilframe_open = made
+    try:
+        df = make()
+        context._veilframe_open = outer
+        return written(df, label)
+    finally:
+        context._veilframe_open = outer
+        for path in made:
+            remove(spark, path)
