@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.sources.store import remove, scratch, settled, shared_dir, ship, table, written
+
+__all__ = ["remove", "scratch", "settled", "shared_dir", "ship", "table", "written"]
+
 #: ASCII white space, and the characters that make up one word.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -24,66 +22,6 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_veilframe_shipped", False):
-        return
-    package = Path(__file__).parents[1]
-    target = Path(tempfile.mkdtemp(prefix="veilframe-")) / "veilframe_package.zip"  # the driver serves it to the executors
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._veilframe_shipped = True
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset on a local master."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, under one folder a session, which goes when the driver's Python ends."""
-    context = spark.sparkContext
-    root = getattr(context, "_veilframe_scratch", None)
-    if root is None:
-        root = context._veilframe_scratch = f"{shared_dir(spark)}/veilframe-{uuid.uuid4().hex}"
-        atexit.register(_remove_quietly, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone at exit
-        remove(spark, path)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path in the shared folder through Hadoop's file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def lookup(small: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if its counted rows are few; else joins shuffle it.
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import join_null_safe, lookup, written
+from veilframe.llm.common import join_null_safe, lookup, settled, written
 from veilframe.llm.components import components
 
 #: Words of a shingle; the threshold as a fraction.
@@ -342,12 +342,12 @@ def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, numer
 
 
 def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), as a written table."""
+    return settled(docs.sparkSession, lambda: _joined(docs, numerator, denominator, seed), "components")
 
-    Node ids are 64 bits of a 128-bit set hash; should two sets share them,
-    which a check over all nodes would show, everything is done again with
-    another seed.
-    """
+
+def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int) -> DataFrame:
+    """The join. Node ids are 64 bits of a 128-bit set hash; should two sets share them, which a check over all nodes would show, everything is done again with another seed."""
     bands = Bands(numerator, denominator)
     schema = "doc_id long, n_shingles long, node long, set_key binary, tiles array<long>, bits array<long>"
     sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(seed, bands), schema), "sets")
@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator:
         "nodes",
     )
     if not nodes.where(F.col("k") != F.col("l")).isEmpty():
-        return jaccard_components(docs, numerator, denominator, seed + 1)
+        return _joined(docs, numerator, denominator, seed + 1)
 
     placed = sets.select("node", F.explode("tiles").alias("tile"))
     order = F.xxhash64(F.pmod("tile", F.lit(ORDERS)))

@@ -49,7 +49,7 @@ FRAME_BYTES = 128 << 10
 FILE_BYTES = 8 << 20
 #: Bytes of text of a range of documents that becomes a file, about (a token takes 2 of 4 bytes and more of text).
 RANGE_TEXT_BYTES = 12 << 20
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 600_000
 
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on, in order.
 _PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
