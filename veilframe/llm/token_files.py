@@ -26,7 +26,9 @@ first; an empty table makes no files and an empty result.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -71,7 +73,9 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # each access to it makes a new object
         self.dtype = dtype
+        self.code = {"<u2": "H", "<u4": "I"}[dtype] if sys.byteorder == "little" else None
         self.has_words = True
         probe = "Zürich wörter éléphant straße plain ÑANDÚES"
         self.has_words = b"".join(self.word(w.encode()) or b"" for w in probe.split()) == self.encode([probe])[0]
@@ -87,11 +91,14 @@ class ChunkIds(dict):
         """
         if not self.has_words:
             return None
-        text = chunk.decode("utf-8", "surrogatepass")
-        if not text.isalpha() or max(text) > "\xff":
-            return None
-        found = self.tokenizer.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_CHARS))
-        return np.array([t.id for t in found], self.dtype).tobytes()
+        if chunk.isalpha():  # ASCII letters stand for themselves
+            found = self.model.tokenize(chunk.lower().decode())
+        else:
+            text = chunk.decode("utf-8", "surrogatepass")
+            if not text.isalpha() or max(text) > "\xff":
+                return None
+            found = self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_CHARS))
+        return np.array([t.id for t in found], self.dtype).tobytes() if self.code is None else array(self.code, [t.id for t in found]).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
         marked = {c for c in chunks if c[-1:] in b".,!?;:" and c[-2:-1].isalpha()}
