@@ -44,7 +44,7 @@ UNKNOWN_PENALTY = 10.0
 N_BEST = 3
 LITTLE = sys.byteorder == "little"
 #: Parts whose segmentations a worker keeps.
-PARTS_KEPT = 250_000
+PARTS_KEPT = 500_000
 
 
 class Kept(dict):
