@@ -179,6 +179,23 @@ def test_one_of_each(spark):
     assert jaccard.jaccard_components(documents(spark, [])).count() == 0
 
 
+def test_five_words_and_four_fifths(spark):
+    made = random.Random(12)
+    texts = []
+    for size in (12, 30, 60, 200, 900):
+        base = [f"b{size}_{i}" for i in range(size)]
+        texts += [edited(base, made, edits) for edits in (0, 1, 2, 4, 9, 20)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            label = [label[a] if x == label[b] else x for x in label]
+    want = sorted({label.index(x) for x in label})
+    docs = documents(spark, texts, ids=list(range(len(texts))))
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs, size=5, numerator=80).collect()) == want
+    assert len(want) < len({c for _, c in brute_components(texts, range(len(texts)))})
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

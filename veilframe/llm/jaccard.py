@@ -1,6 +1,6 @@
 """n-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersections.
 
-A document's set holds the hashes of its distinct 3-word shingles. Two sets
+A document's set holds the hashes of its distinct shingles, of 3 words if not told otherwise. Two sets
 link when their Jaccard similarity reaches a threshold. The join is exact:
 
 1. Equal sets are one node, so copies cost nothing beyond the first.
@@ -23,7 +23,7 @@ Texts of candidates are fetched by document and travel compressed; sets are
 made again from them, so that no table of whole sets is ever stored.
 
 Defined results: null, empty and wordless texts have an empty set and link
-with nothing; texts with one or two words have one shingle, the whole
+with nothing; texts with fewer words than a shingle have one, the whole
 sequence; rows that share a doc_id but not a text are separate nodes; an empty
 table gives an empty result; extra columns don't matter.
 """
@@ -114,7 +114,12 @@ def _lowers(least: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Bands:
-    """Size bands and their slices for a threshold numerator/denominator."""
+    """Size bands and their slices for a threshold numerator/denominator.
+
+    Under 0.9, a slice for each element that may differ would leave many
+    slices empty, and the tiles of empty slices hold unrelated sets. There a
+    third more slices are spare.
+    """
 
     numerator: int = NUMERATOR
     denominator: int = DENOMINATOR
@@ -130,9 +135,16 @@ class Bands:
         """The band of a size, -1 under all."""
         return bisect_right(_lowers(self.least()), size) - 1
 
+    def most(self, band: int) -> int:
+        """Elements in which linked sets of a band can differ."""
+        return (self.lower(band + 1) - 1) * (self.denominator - self.numerator) // self.numerator
+
+    def spare(self, band: int) -> int:
+        """Slices beyond the least number."""
+        return SPARE if 10 * self.numerator >= 9 * self.denominator else max(SPARE, -(-self.most(band) // 3))
+
     def slices(self, band: int) -> int:
-        most = (self.lower(band + 1) - 1) * (self.denominator - self.numerator) // self.numerator
-        return most + 1 + SPARE
+        return self.most(band) + 1 + self.spare(band)
 
     def joined(self, size: int) -> list[int]:
         """The bands whose tiles a set joins."""
@@ -147,7 +159,7 @@ def tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
     """The tiles of a sorted set: a hash of band, slice and the slice's elements.
 
     Slices are ranges of hash space, so they are runs of the sorted array.
-    Empty slices make tiles only for sets with more than SPARE of them: other
+    Empty slices make tiles only for sets with more than the band's spare number: other
     linked pairs agree on a slice that has elements.
     """
     out = []
@@ -158,7 +170,7 @@ def tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
         used = at[starts]
         sums = np.add.reduceat(mixed(h ^ _C[0]), starts)
         counts = np.diff(np.r_[starts, len(h)]).astype(np.uint64)
-        if m - len(used) > SPARE:
+        if m - len(used) > bands.spare(band):
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), used)
             used, sums, counts = np.r_[used, empty], np.r_[sums, np.zeros_like(empty)], np.r_[counts, np.zeros_like(empty)]
         out.append(mixed(mixed(sums + counts * _C[1]) ^ (used * _C[2] + np.uint64(band + 1))))
@@ -173,13 +185,13 @@ def bitmap(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.packbits(set_bits, bitorder="little").view(np.uint64)
 
 
-def _signatures(seed: int, bands: Bands):
+def _signatures(seed: int, bands: Bands, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = word_hashes(seed), set()  # copies of a set in one task make tiles once
         for batch in batches:
             sizes, nodes, keys, all_tiles, maps = [], [], [], [], []
             for text in batch.column("text"):
-                h = shingles(text.as_py(), hashes)
+                h = shingles(text.as_py(), hashes, size)
                 sizes.append(len(h))
                 digest = xxhash.xxh3_128_digest(h.tobytes(), seed=seed) if len(h) else None
                 keys.append(digest)
@@ -201,7 +213,7 @@ def _signatures(seed: int, bands: Bands):
     return run
 
 
-def _packed(seed: int):
+def _packed(seed: int, size: int):
     """Rows (node, text): the compressed texts of those whose set has that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +221,7 @@ def _packed(seed: int):
         for batch in batches:
             nodes, blobs = [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingles(text, hashes)
+                h = shingles(text, hashes, size)
                 if len(h) and int.from_bytes(xxhash.xxh3_128_digest(h.tobytes(), seed=seed)[:8], "little", signed=True) == node:
                     nodes.append(node)
                     blobs.append(pack.compress(text.encode("utf-8", "surrogatepass")))
@@ -218,7 +230,7 @@ def _packed(seed: int):
     return run
 
 
-def _linked(seed: int, numerator: int, denominator: int):
+def _linked(seed: int, numerator: int, denominator: int, size: int):
     """Of rows (a, b, packed_a, packed_b), the pairs that link. Neighbouring rows share b, whose set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +238,7 @@ def _linked(seed: int, numerator: int, denominator: int):
         kept, x = None, None
 
         def made(blob: bytes) -> np.ndarray:
-            return shingles(unpack.decompress(blob).decode("utf-8", "surrogatepass"), hashes)
+            return shingles(unpack.decompress(blob).decode("utf-8", "surrogatepass"), hashes, size)
 
         for batch in batches:
             a, b, pa_, pb = (batch.column(c) for c in ("a", "b", "packed_a", "packed_b"))
@@ -329,34 +341,34 @@ def _across(numerator: int, denominator: int):
     return run
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, numerator: int, denominator: int) -> DataFrame:
+def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, numerator: int, denominator: int, size: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, written."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = join_null_safe(docs.select("doc_id", "text"), lookup(written(wanted, "wanted")), ["doc_id"], "inner").select("node", "text")
-    packed = written(texts.mapInArrow(_packed(seed), "node long, packed binary"), "packed").dropDuplicates(["node"])
+    packed = written(texts.mapInArrow(_packed(seed, size), "node long, packed binary"), "packed").dropDuplicates(["node"])
     packed = written(packed, "packed")
     with_a = pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
     with_b = with_a.join(packed.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
-    return written(with_b.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(seed, numerator, denominator), "a long, b long"), "links")
+    return written(with_b.select("a", "b", "packed_a", "packed_b").mapInArrow(_linked(seed, numerator, denominator, size), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), as a written table."""
-    return settled(docs.sparkSession, lambda: _joined(docs, numerator, denominator, seed), "components")
+def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text), as a written table; size is the words of a shingle."""
+    return settled(docs.sparkSession, lambda: _joined(docs, numerator, denominator, seed, size), "components")
 
 
-def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int) -> DataFrame:
+def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int, size: int) -> DataFrame:
     """The join. Node ids are 64 bits of a 128-bit set hash; should two sets share them, which a check over all nodes would show, everything is done again with another seed."""
     bands = Bands(numerator, denominator)
     schema = "doc_id long, n_shingles long, node long, set_key binary, tiles array<long>, bits array<long>"
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(seed, bands), schema), "sets")
+    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(seed, bands, size), schema), "sets")
     nodes = written(
         sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("set_key").alias("k"), F.max("set_key").alias("l")),
         "nodes",
     )
     if not nodes.where(F.col("k") != F.col("l")).isEmpty():
-        return _joined(docs, numerator, denominator, seed + 1)
+        return _joined(docs, numerator, denominator, seed + 1, size)
 
     placed = sets.select("node", F.explode("tiles").alias("tile"))
     order = F.xxhash64(F.pmod("tile", F.lit(ORDERS)))
@@ -375,7 +387,7 @@ def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int) -> Dat
         return signature.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"))
 
     likely = stars.join(of("a"), "a").join(of("b"), "b").where(_may_link("s_a", "s_b", numerator, denominator))
-    links = _exact(likely, docs, nodes, seed, numerator, denominator)
+    links = _exact(likely, docs, nodes, seed, numerator, denominator, size)
     labels = components(links)
 
     placed_label = written(members.join(lookup(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
@@ -387,7 +399,7 @@ def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int) -> Dat
     signed = dealt.join(signature.select("node", "s.n", "s.bits"), "node")
     rows = signed.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
     across = rows.select("tile", "low", "high", "block", "node", "label", "n", "bits").mapInArrow(_across(numerator, denominator), "a long, b long")
-    more = _exact(across, docs, nodes, seed, numerator, denominator)
+    more = _exact(across, docs, nodes, seed, numerator, denominator, size)
     final = components(links.union(more))
 
     class_ids = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
