@@ -13,6 +13,21 @@ def test_query(spark, small, name):
     assert_same(queries.queries()[name](spark, small), queries.oracle_sql()[name], small)
 
 
+def test_batches_write_every_customer(spark, small):
+    table, counts = queries._batched(spark, queries.stored_rotated(spark, small), queries.migrate.BatchOptions())
+    back = queries.codec.decrypt(table, queries.CUSTOMER, queries.NEWEST_ONLY, queries.TENANT).select("c_custkey", "c_name")
+    want = spark.read.parquet(f"{small}/customer.parquet").select("c_custkey", "c_name")
+    assert sorted(back.collect()) == sorted(want.collect())
+    assert sum(r.migrated + r.skipped for r in counts.collect()) == want.count() > 120
+
+
+def test_upsert_takes_every_customer(spark, small, monkeypatch):
+    seen, plain = [], queries.write.upsert
+    monkeypatch.setattr(queries.write, "upsert", lambda stored, changes, *rest: seen.append(changes.count()) or plain(stored, changes, *rest))
+    queries.upsert_keeps_bytes(spark, small)
+    assert seen == [spark.read.parquet(f"{small}/customer.parquet").count()]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -245,17 +245,34 @@ def reencrypt_search(spark, sf_dir):
 
 
 def reencrypt_batches(spark, sf_dir):
+    """The first 120 customers in batches of 50, as its SQL has them; reencrypt_whole_table takes all."""
     few = written(stored_rotated(spark, sf_dir).where("c_custkey <= 120"), "few")
-    done, progress = [], migrate.Progress()
-    for _, result in migrate.batches(few, CUSTOMER, PROVIDER, TENANT, "c_custkey", migrate.BatchOptions(50)):
-        progress = progress.after(result)
-        done.append((progress.batches, result.migrated, result.skipped, progress.processed, progress.is_complete))
-    return spark.createDataFrame(done, "batch long, migrated long, skipped long, total long, complete boolean")
+    return _batched(spark, few, migrate.BatchOptions(50))[1]
+
+
+def reencrypt_whole_table(spark, sf_dir):
+    return _batched(spark, stored_rotated(spark, sf_dir), migrate.BatchOptions())[1]
+
+
+def _batched(spark, before, options):
+    """What the batches wrote, and a row for each batch, counted from the written rows: migrated ones have other bytes and the current key."""
+    done, parts, progress = [], [], migrate.Progress()
+    old = before.select("c_custkey", F.col("c_name").alias("before"))
+    current = ~migrate.needs_reencryption(F.col("c_name"), CUSTOMER.field("c_name"), PROVIDER.current_key_id(TENANT))
+    for renewed, result in migrate.batches(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", options):
+        parts.append(written(renewed, "batch"))
+        same = F.col("c_name") == F.col("before")
+        counts = (F.sum((~same & current).cast("int")), F.sum((same & current).cast("int")))
+        migrated, skipped = parts[-1].join(old, "c_custkey").agg(*(F.coalesce(c, F.lit(0)) for c in counts)).first()
+        progress = progress.after(migrate.BatchResult(migrated=migrated, skipped=skipped, next=result.next))
+        done.append((progress.batches, migrated, skipped, progress.processed, progress.is_complete))
+    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(done, "batch long, migrated long, skipped long, total long, complete boolean")
 
 
 def upsert_keeps_bytes(spark, sf_dir):
     before = stored(customers(spark, sf_dir), CUSTOMER, "before")
-    changes = customers(spark, sf_dir).where("c_custkey <= 20").withColumn("email", F.when(F.col("c_custkey") % 2 == 0, F.lit("new@example.com")).otherwise(F.col("email")))
+    changed = (F.col("c_custkey") <= 20) & (F.col("c_custkey") % 2 == 0)  # the rows that the SQL has; every customer is among the changes
+    changes = customers(spark, sf_dir).withColumn("email", F.when(changed, F.lit("new@example.com")).otherwise(F.col("email")))
     after = written(write.upsert(before, changes, CUSTOMER, PROVIDER, TENANT, "c_custkey"), "after")
     both = after.select("c_custkey", "c_name", "email").join(before.select("c_custkey", F.col("c_name").alias("n"), F.col("email").alias("e")), "c_custkey")
     return both.select("c_custkey", (F.col("c_name") == F.col("n")).alias("name_kept"), (F.col("email") == F.col("e")).alias("email_kept"))
@@ -322,7 +339,7 @@ def stream_roundtrip(spark, sf_dir):
 QUERIES = [
     roundtrip_string, roundtrip_binary, roundtrip_documents, roundtrip_conversations, roundtrip_null_empty, search_equals, search_equals_normalized, search_no_match, search_and_chain, search_segment,
     search_in, search_in_dups, search_in_hidden, search_in_empty, search_email, search_null_value, search_rotated, search_current_only, blind_index_hex, envelope_header, envelope_errors, detect_envelope,
-    stored_key_version, needs_reencryption, migration_plan, reencrypt_search, reencrypt_batches, upsert_keeps_bytes, audit_report, audit_unclassified, lint_projection, lint_equality, leak_check,
+    stored_key_version, needs_reencryption, migration_plan, reencrypt_search, reencrypt_batches, reencrypt_whole_table, upsert_keeps_bytes, audit_report, audit_unclassified, lint_projection, lint_equality, leak_check,
     search_with_children, match_then_order, segment_totals, stream_roundtrip,
 ]
 
@@ -379,6 +396,8 @@ def oracle_sql() -> dict[str, str]:
         "reencrypt_search": row + "c_name BETWEEN 'Customer#000000001' AND 'Customer#000000030'",
         "reencrypt_batches": f"""WITH k AS (SELECT {version} AS v, (row_number() OVER (ORDER BY c_custkey) - 1) // 50 + 1 AS batch FROM customer WHERE c_custkey <= 120)
             SELECT batch, sum((v < 3)::INTEGER)::BIGINT AS migrated, sum((v = 3)::INTEGER)::BIGINT AS skipped, sum(count(*)) OVER (ORDER BY batch)::BIGINT AS total, batch = max(batch) OVER () AS complete FROM k GROUP BY batch""",
+        "reencrypt_whole_table": f"""WITH k AS (SELECT {version} AS v, (row_number() OVER (ORDER BY c_custkey) - 1) // {migrate.DEFAULT_BATCH} + 1 AS batch FROM customer)
+            SELECT batch, sum((v < 3)::INTEGER)::BIGINT AS migrated, sum((v = 3)::INTEGER)::BIGINT AS skipped, sum(count(*)) OVER (ORDER BY batch)::BIGINT AS total, batch = max(batch) OVER () AS complete FROM k GROUP BY batch""",
         "upsert_keeps_bytes": "SELECT c_custkey, true AS name_kept, NOT (c_custkey <= 20 AND c_custkey % 2 = 0) AS email_kept FROM customer",
         "audit_report": _values(
             [
