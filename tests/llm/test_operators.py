@@ -381,6 +381,11 @@ def test_encode_query_shape(spark, model_path):
     assert pieces.encode_n_best(docs.limit(0), model_path).count() == 0
 
 
+def test_query_returns_the_ids(spark, small):
+    got = entry.op2_sentencepiece(spark, small).where("doc_id < 5").collect()
+    assert got and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in got)
+
+
 # WARC
 
 
