@@ -497,6 +497,12 @@ def test_temporal_lists(spark):
     assert url_lists.listed(frame.limit(0), none).count() == 0
 
 
+def test_a_listed_top_level_domain(spark):
+    captures = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "http://b.org", 5), (3, "http://com", 5)], "page_id long, url string, fetched_at long")
+    entries = spark.createDataFrame([("com", "add", 1), ("a.b.com", "add", 6)], "pattern string, action string, at long")
+    assert sorted((r.page_id, r.pattern) for r in url_lists.listed(captures, entries).where("blocked").collect()) == [(1, "com"), (3, "com")]
+
+
 # token files
 
 

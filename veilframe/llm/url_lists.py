@@ -32,11 +32,10 @@ def host_of(url: Column) -> Column:
 
 
 def patterns_of(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains, the top-level domain included."""
     labels = F.split(host, r"\.")
-    last = F.greatest(F.size(labels) - 1, F.lit(1))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     )
 
 
