@@ -196,6 +196,13 @@ def test_five_words_and_four_fifths(spark):
     assert len(want) < len({c for _, c in brute_components(texts, range(len(texts)))})
 
 
+def test_one_of_each_tells_texts_of_an_id_apart(spark):
+    texts = [own(1), own(2), own(2), own(3), own(4), own(4), own(5), own(5), own(1)]
+    ids = [5, 5, 3, 5, 8, None, None, None, 7]
+    got = sorted((r.doc_id or -1, r.text) for r in jaccard.one_of_each(documents(spark, texts, ids=ids)).collect())
+    assert got == sorted([(5, own(1)), (3, own(2)), (5, own(3)), (8, own(4)), (-1, own(5))])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -206,8 +206,8 @@ def _signatures(seed: int, bands: Bands, size: int):
                 return pa.ListArray.from_arrays(offsets, np.concatenate(values) if values else np.empty(0, np.int64))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), lists(all_tiles), lists(maps)],
-                names=["doc_id", "n_shingles", "node", "set_key", "tiles", "bits"],
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), lists(all_tiles), lists(maps)],
+                names=[*(c for c in batch.schema.names if c != "text"), "n_shingles", "node", "set_key", "tiles", "bits"],
             )
 
     return run
@@ -358,17 +358,21 @@ def jaccard_components(docs: DataFrame, numerator: int = NUMERATOR, denominator:
     return settled(docs.sparkSession, lambda: _joined(docs, numerator, denominator, seed, size), "components")
 
 
-def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int, size: int) -> DataFrame:
-    """The join. Node ids are 64 bits of a 128-bit set hash; should two sets share them, which a check over all nodes would show, everything is done again with another seed."""
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int, size: int, by_text: bool = False) -> DataFrame:
+    """The join; by_text, (doc_id, text_hash, label) of the rows with a set, where label is the component's. Node ids are 64 bits of a 128-bit set hash; should two sets share them, which a check over all nodes would show, everything is done again with another seed."""
     bands = Bands(numerator, denominator)
-    schema = "doc_id long, n_shingles long, node long, set_key binary, tiles array<long>, bits array<long>"
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(seed, bands, size), schema), "sets")
+    schema = "doc_id long, " + "text_hash long, " * by_text + "n_shingles long, node long, set_key binary, tiles array<long>, bits array<long>"
+    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_text_hash().alias("text_hash")] * by_text, "text").mapInArrow(_signatures(seed, bands, size), schema), "sets")
     nodes = written(
         sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("set_key").alias("k"), F.max("set_key").alias("l")),
         "nodes",
     )
     if not nodes.where(F.col("k") != F.col("l")).isEmpty():
-        return _joined(docs, numerator, denominator, seed + 1, size)
+        return _joined(docs, numerator, denominator, seed + 1, size, by_text)
 
     placed = sets.select("node", F.explode("tiles").alias("tile"))
     order = F.xxhash64(F.pmod("tile", F.lit(ORDERS)))
@@ -403,21 +407,26 @@ def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int, size:
     final = components(links.union(more))
 
     class_ids = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if by_text:
+        return sets.select("doc_id", "text_hash", "node").join(class_ids.select("node", "label"), "node").select("doc_id", "text_hash", "label")
     ids = class_ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = written(class_ids.select("node", "label").join(written(ids, "ids"), "label").select("node", "component_id"), "by_node")
     return sets.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id.
+def one_of_each(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0, size: int = SHINGLE) -> DataFrame:
+    """docs with one document of each component, that with the smallest doc_id (null after all others), then text hash.
 
-    Repeated rows (equal doc_id and text) leave one; other rows that share a
-    doc_id stay or go together. Documents with an empty set and those without
-    a doc_id stay.
+    A document is a doc_id and a text: texts that share a doc_id are judged
+    each for itself, and repeated rows leave one. Documents with an empty set
+    stay.
     """
-    found = jaccard_components(docs, **settings)
-    gone = lookup(written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    shared = lookup(written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id"), "shared_ids"))
-    once = join_null_safe(left, shared, ["doc_id"], "left_anti")
-    return once.union(join_null_safe(left, shared, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = settled(docs.sparkSession, lambda: _joined(docs, numerator, denominator, seed, size, by_text=True), "rows")
+    ranked = found.withColumn("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    first = written(ranked.groupBy("label").agg(F.min("row").alias("first")), "first")
+    rest = ranked.join(first, "label").where(~F.col("row").eqNullSafe(F.col("first"))).select("doc_id", F.col("text_hash").alias("__t")).distinct()
+    marked = docs.withColumn("__t", _text_hash())
+    left = join_null_safe(marked, lookup(written(rest, "gone")), ["doc_id", "__t"], "left_anti")
+    shared = lookup(written(marked.groupBy("doc_id", "__t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id", "__t"), "repeated"))
+    once = join_null_safe(left, shared, ["doc_id", "__t"], "left_anti")
+    return once.union(join_null_safe(left, shared, ["doc_id", "__t"], "left_semi").dropDuplicates(["doc_id", "text"])).drop("__t")
