@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.sources.store import remove, scratch, settled, shared_dir, ship, table, written
+from veilframe.sources import store
+from veilframe.sources.store import remove, scratch, settled, shared_dir, ship, table
 
 __all__ = ["remove", "scratch", "settled", "shared_dir", "ship", "table", "written"]
 
@@ -22,6 +24,28 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows of a batch that a job of these operators sends to Python: whole texts at Spark's 10,000 would fill a worker.
+BATCH_ROWS = 512
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send batches of at most BATCH_ROWS rows to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, made with small batches."""
+    with small_batches(df.sparkSession):
+        return store.written(df, label)
+
+
 def lookup(small: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if its counted rows are few; else joins shuffle it.
 
@@ -55,8 +79,43 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACES))).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows, so that what is made from their texts stays small."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to so many rows and bytes (or one row), so that what is made from their texts stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        each = max(1, min(rows, batch.num_rows * most_bytes // max(1, batch.get_total_buffer_size())))
+        for start in range(0, batch.num_rows, each):
+            yield batch.slice(start, each)
+
+
+class Recent(dict):
+    """What make returns for its recent arguments, bounded by bytes and not by entries.
+
+    Two generations, each of up to half of most_bytes: a full one becomes the
+    older one, and the older one before it goes, but for arguments that are
+    asked for again. Long arguments are never kept. An entry takes about
+    entry_bytes and four bytes for each character of its argument.
+    """
+
+    LONGEST = 256
+
+    def __init__(self, make: Callable, most_bytes: int, entry_bytes: int) -> None:
+        super().__init__()
+        self.make, self.most, self.entry = make, most_bytes // 2, entry_bytes
+        self.older: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        value = self.older[key] if key in self.older else self.make(key)
+        if len(key) > self.LONGEST:
+            return value
+        self.held += self.entry + 4 * len(key)
+        if self.held > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.held = self.entry + 4 * len(key)
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0

@@ -25,11 +25,12 @@ first; an empty table makes no files and an empty result.
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -39,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import lookup, scratch, sliced, written
+from veilframe.llm.common import lookup, scratch, sliced, small_batches, written
 
 #: Fixed values of the public formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -48,20 +49,22 @@ DESCRIPTOR_CHECKSUMS = 0x80
 END_ID = 1
 #: Ids of a frame and of a file, about; a file is one value in a task's memory.
 FRAME_BYTES = 128 << 10
-FILE_BYTES = 8 << 20
-#: Bytes of text of a range of documents that becomes a file, about (a token takes 2 of 4 bytes and more of text).
-RANGE_TEXT_BYTES = 12 << 20
-CHUNKS_KEPT = 600_000
+FILE_BYTES = 6 << 20
+#: Bytes of text of a range of documents, about, and ranges at most: a larger table has larger ranges, whose tasks make many files each.
+RANGE_TEXT_BYTES, MOST_RANGES = 12 << 20, 20_000
+#: Bytes of chunks and their ids that a worker keeps, about; what an entry costs besides; chunks over LONGEST bytes aren't kept.
+KEPT_BYTES, ENTRY_BYTES, LONGEST = 160 << 20, 160, 64
 
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on, in order.
 _PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTING))}
 
-_DOC = np.dtype([("doc_id", "<i8"), ("tokens", "<u8"), ("frame", "<u4"), ("flags", "<u4")])
+_DOC = struct.Struct("<qQII")
+_DOCS = np.dtype([("doc_id", "<i8"), ("tokens", "<u8"), ("frame", "<u4"), ("flags", "<u4")])
 
 
 class ChunkIds(dict):
-    """The ids of white-space-delimited chunks, as little-endian bytes.
+    """The ids of white-space-delimited chunks, as little-endian bytes, kept for recent chunks of ordinary length.
 
     Only for tokenizers whose pieces never cross ASCII white space and drop
     it. A chunk that ends in one punctuation mark after an ASCII letter has the
@@ -70,6 +73,10 @@ class ChunkIds(dict):
 
     def __init__(self, path: str, dtype: str) -> None:
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
+        self.passing: dict[bytes, bytes] = {}
+        self.held = 0
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,74 +90,113 @@ class ChunkIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def is_word(self, chunk: bytes) -> bool:
+        """Whether a chunk is Latin-1 letters only, and words may be taken from the model."""
+        if not self.has_words or chunk.isalpha():
+            return self.has_words
+        text = chunk.decode("utf-8", "surrogatepass")
+        return text.isalpha() and max(text) <= "\xff"
+
     def word(self, chunk: bytes) -> bytes | None:
         """The ids of a chunk of Latin-1 letters only, from the tokenizer's model, which is much faster than its pipeline.
 
         For such a chunk the pipeline only lowers case and writes each byte as
         the byte-level alphabet's character. None for other chunks.
         """
-        if not self.has_words:
+        if not self.is_word(chunk):
             return None
-        if chunk.isalpha():  # ASCII letters stand for themselves
+        if chunk.isascii():  # ASCII letters stand for themselves
             found = self.model.tokenize(chunk.lower().decode())
         else:
-            text = chunk.decode("utf-8", "surrogatepass")
-            if not text.isalpha() or max(text) > "\xff":
-                return None
-            found = self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_CHARS))
+            found = self.model.tokenize(chunk.decode().lower().encode().decode("latin-1").translate(BYTE_CHARS))
         return np.array([t.id for t in found], self.dtype).tobytes() if self.code is None else array(self.code, [t.id for t in found]).tobytes()
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that aren't known."""
         marked = {c for c in chunks if c[-1:] in b".,!?;:" and c[-2:-1].isalpha()}
-        new = [c for c in (chunks - marked) | {c[:-1] for c in marked} | {c[-1:] for c in marked} if c not in self]
-        words = {c: w for c in new if (w := self.word(c)) is not None}
-        self.update(words)
-        new = [c for c in new if c not in words]
-        self.update(zip(new, self.encode([c.decode("utf-8", "surrogatepass") for c in new]), strict=True))
-        self.update((c, self[c[:-1]] + self[c[-1:]]) for c in marked)
+        new = [*(chunks - marked).union([c[:-1] for c in marked], [c[-1:] for c in marked])]
+        made = {c: w for c in new if (w := self.get(c) or self.word(c)) is not None}
+        rest = [c for c in new if c not in made]
+        made.update(zip(rest, self.encode([c.decode("utf-8", "surrogatepass") for c in rest]), strict=True))
+        made.update([(c, made[c[:-1]] + made[c[-1:]]) for c in marked])
+        return made
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.passing[chunk]
+
+    def prepare(self, chunks: set[bytes]) -> None:
+        """Makes the ids of chunks known. A full generation becomes the older one, from which chunks come back when they are met again."""
+        missing = chunks.difference(self)
+        back = missing.intersection(self.older)
+        made = self.learn(missing - back)
+        made.update([(c, self.older[c]) for c in back])
+        self.passing = {c: ids for c, ids in made.items() if len(c) > LONGEST}
+        for c in self.passing:
+            del made[c]
+        size = sum(map(len, made)) + sum(map(len, made.values())) + ENTRY_BYTES * len(made)
+        if self.held + size > KEPT_BYTES // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+            self.passing.update([(c, self.older[c]) for c in chunks.intersection(self.older)])
+        self.update(made)
+        self.held += size
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts. Texts with a special token's first characters go to the tokenizer as they are."""
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() if "<|" not in (t or "") else None for t in texts]
-        chunks_here = set().union(*(chunks for chunks in split if chunks))
-        missing = chunks_here.difference(self)
-        if missing:
-            if len(self) + 2 * len(missing) > CHUNKS_KEPT:
-                self.clear()
-                missing = chunks_here
-            self.learn(missing)
+        self.prepare(set().union(*(chunks for chunks in split if chunks)))
         get = self.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else self.encode([t])[0] for chunks, t in zip(split, texts, strict=True)]
-
-
-def pack_file(docs: list[tuple[int | None, bytes]], width: int, level: int = 3) -> bytes:
-    """A file's bytes, but for the last four (the magic number)."""
-    packer = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
-    frames, table, index = [], [], np.zeros(len(docs), _DOC)
-    held: list[bytes] = []
-
-    def close() -> None:
-        content = b"".join(held)
-        frame = packer.compress(content)
-        frames.append(frame)
-        table.append(struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
-        held.clear()
-
-    size = 0
-    for i, (doc_id, ids) in enumerate(docs):
-        if held and size + len(ids) > FRAME_BYTES:
-            close()
-            size = 0
-        index[i] = (doc_id or 0, len(ids) // width, len(frames), (doc_id is None) | (width == 4) << 1)
-        held.append(ids)
-        size += len(ids)
-    if held:
-        close()
-    about = packer.compress(index.tobytes())
-    seek = b"".join(table) + struct.pack("<IB", len(frames), DESCRIPTOR_CHECKSUMS)
-    return b"".join(
-        [*frames, struct.pack("<II", SKIPPABLE_INDEX, len(about)), about, struct.pack("<II", SKIPPABLE_SEEK_TABLE, len(seek) + 4), seek]
-    )
+        out = [b"".join(map(get, chunks)) if chunks is not None else self.encode([t])[0] for chunks, t in zip(split, texts, strict=True)]
+        self.passing = {}
+        return out
+
+
+class Packer:
+    """Makes one file of documents: frames are compressed as soon as they are full, so little more than the file is held."""
+
+    def __init__(self, width: int, level: int = 3) -> None:
+        self.width = width
+        self.packer = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
+        self.frames: list[bytes] = []
+        self.table: list[bytes] = []
+        self.docs: list[bytes] = []
+        self.held: list[bytes] = []
+        self.size = self.total = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        if self.held and self.size + len(ids) > FRAME_BYTES:
+            self.close_frame()
+        self.docs.append(_DOC.pack(doc_id or 0, len(ids) // self.width, len(self.frames), (doc_id is None) | (self.width == 4) << 1))
+        self.held.append(ids)
+        self.size += len(ids)
+        self.total += len(ids)
+
+    def close_frame(self) -> None:
+        content = b"".join(self.held)
+        frame = self.packer.compress(content)
+        self.frames.append(frame)
+        self.table.append(struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
+        self.held.clear()
+        self.size = 0
+
+    def file(self) -> bytes:
+        """The file's bytes, but for the last four (the magic number)."""
+        if self.held:
+            self.close_frame()
+        about = self.packer.compress(b"".join(self.docs))
+        seek = b"".join(self.table) + struct.pack("<IB", len(self.frames), DESCRIPTOR_CHECKSUMS)
+        return b"".join(
+            [*self.frames, struct.pack("<II", SKIPPABLE_INDEX, len(about)), about, struct.pack("<II", SKIPPABLE_SEEK_TABLE, len(seek) + 4), seek]
+        )
+
+
+def pack_file(docs: Iterable[tuple[int | None, bytes]], width: int, level: int = 3) -> bytes:
+    """The bytes of a file of docs, but for the last four (the magic number)."""
+    packer = Packer(width, level)
+    for doc_id, ids in docs:
+        packer.add(doc_id, ids)
+    return packer.file()
 
 
 class TokenFile:
@@ -170,7 +216,7 @@ class TokenFile:
         if magic != SKIPPABLE_INDEX or at + 8 + size != start - 8:
             raise ValueError("broken document index")
         self.unpacker = zstandard.ZstdDecompressor()
-        self.docs = np.frombuffer(self.unpacker.decompress(data[at + 8 : at + 8 + size]), _DOC)
+        self.docs = np.frombuffer(self.unpacker.decompress(data[at + 8 : at + 8 + size]), _DOCS)
         self.dtype = "<u4" if len(self.docs) and self.docs["flags"][0] & 2 else "<u2"
 
     def frame(self, k: int) -> bytes:
@@ -209,24 +255,20 @@ def _files(path: str, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_ids(path, dtype)
         end, width = np.asarray([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
-        held: list[tuple[int | None, bytes]] = []
-        size, current = 0, None
+        packer, current = Packer(width), None
 
         def close() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([pack_file(held, width)], pa.binary())], names=["value"])
-            held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array([packer.file()], pa.binary())], names=["value"])
 
         for batch in sliced(batches):
             ids = chunks.texts(batch.column("text").to_pylist())
             for part, doc_id, each in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), ids, strict=True):
-                if held and (part != current or size + len(each) > FILE_BYTES):
+                if packer.docs and (part != current or packer.total + len(each) > FILE_BYTES):
                     yield close()
-                    size = 0
+                    packer = Packer(width)
                 current = part
-                held.append((doc_id, each + end))
-                size += len(each) + width
-        if held:
+                packer.add(doc_id, each + end)
+        if packer.docs:
             yield close()
 
     return run
@@ -241,12 +283,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabular
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, int(total // RANGE_TEXT_BYTES))
+    parts = max(1, min(MOST_RANGES, int(total // RANGE_TEXT_BYTES)))
     ranged = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("range", F.spark_partition_id())
     rows = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("range", "doc_id", "text")
     packed = rows.mapInArrow(_files(tokenizer_path, dtype, end_id), "value binary")
     magic = struct.pack("<I", SEEKABLE_MAGIC).decode("latin-1")
-    packed.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", magic).option("encoding", "ISO-8859-1").text(path)
+    with small_batches(docs.sparkSession):
+        packed.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", magic).option("encoding", "ISO-8859-1").text(path)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
