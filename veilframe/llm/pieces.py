@@ -5,11 +5,15 @@ segmentations are found as A* search from the end of the text, where the
 forward Viterbi score of each place is the exact heuristic of what is still
 to come: paths complete in the order of their scores.
 
-A text falls apart at every place that no piece spans (the two characters
-there are neighbours in no piece). Each part has a lattice of its own. The two
-best Viterbi scores give its best path and the loss of its second best, which
-are kept; the n best of a text differ from the best only in the
-n - 1 parts with the smallest losses, and those are searched.
+A text falls apart before each run of spaces and around each line end, if no
+piece of the model spans such a place. Each part has a lattice of its own, which A*
+searches. As the heuristic is exact, the first path goes straight from the end
+to the start, and when it is complete the best of the waiting ones has the
+score of the second: both scores are kept. The n best of a text differ from
+its best only in the n - 1 parts whose second best lose the least; there A*
+goes on to the n-th path, and the parts' paths are combined. Scores are
+multiples of 2^-20, so that every sum is exact, whatever its order. Time and
+memory are linear in a part's length.
 
 The model's normalisation is the plain one: a space is put first, and spaces
 become U+2581. A character without a piece becomes its UTF-8 bytes' pieces,
@@ -20,45 +24,77 @@ change further left.
 
 Defined results: null and empty texts have one segmentation, the empty one,
 with score 0; a text has fewer than n segmentations if its lattice has fewer
-paths; equal rows get equal results; an empty table gives an empty result.
+paths; equal rows get equal results; an empty table gives an empty result;
+columns to keep may not have the name of a column of the result.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
+from itertools import islice
+from math import inf
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilframe.llm.common import sliced
+from veilframe.llm.common import Recent, sliced
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 N_BEST = 3
 LITTLE = sys.byteorder == "little"
-#: Parts whose segmentations a worker keeps.
-PARTS_KEPT = 500_000
+#: Bytes of parts that a worker keeps with their segmentations, about, and of an entry besides its text.
+PARTS_BYTES, ENTRY_BYTES = 144 << 20, 300
+SHORT = 64
+#: Scores are multiples of 1 / GRID.
+GRID = 1 << 20
 
 
-class Kept(dict):
-    """Results of a function, kept for up to PARTS_KEPT arguments."""
+class Step:
+    """A piece of a path that A* builds from the end of a part. parent is the piece after it.
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
+    Steps compare as their paths do: at the first piece from the end that
+    differs, the longer one is less. jump leads to an ancestor far away, so
+    that a comparison takes few hops on long paths.
+    """
 
-    def __missing__(self, part: str):
-        if len(self) >= PARTS_KEPT:
-            self.clear()
-        found = self[part] = self.make(part)
-        return found
+    __slots__ = ("depth", "jump", "parent", "piece", "start")
+
+    def __init__(self, parent: Step | None, start: int, piece: int | None) -> None:
+        self.parent, self.start, self.piece, self.depth = parent, start, piece, -1
+
+    def settled(self) -> Step:
+        """self, with depth and jump; its parent has them."""
+        up = self.parent
+        if self.depth < 0:
+            if up is None:
+                self.depth, self.jump = 0, self
+            else:
+                far = up.jump
+                self.depth, self.jump = up.depth + 1, far.jump if up.depth - far.depth == far.depth - far.jump.depth else up
+        return self
+
+    def above(self, depth: int) -> Step:
+        """The ancestor at a depth."""
+        at = self
+        while at.depth > depth:
+            at = at.jump if at.jump.depth >= depth else at.parent
+        return at
+
+    def __lt__(self, other: Step) -> bool:
+        a, b = self.settled(), other.settled()
+        depth = min(a.depth, b.depth)
+        a, b = a.above(depth), b.above(depth)
+        while a.parent is not b.parent:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.parent, b.parent)
+        return a.start < b.start
 
 
 class Pieces:
@@ -66,23 +102,27 @@ class Pieces:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n: int = N_BEST) -> None:
         self.byte_ids, self.n = byte_ids, n
+        pieces = {p: (i, round(score * GRID) / GRID) for p, (i, score) in pieces.items()}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.names = {i: p for p, (i, _) in pieces.items()}
         self.bytes = {i: b for b, i in enumerate(byte_ids)}
-        joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
-        self.joined = joined
-        #: A trie of the pieces: nodes are (children by character, id or None, score).
-        self.trie: dict = {}
+        #: Tries of the pieces, from their first and from their last character: nodes are (nodes by character, score or None, id).
+        self.trie, self.back = self.nodes(pieces), self.nodes({p[::-1]: x for p, x in pieces.items()})
+        # spaces with what follows and line ends are parts, unless a piece has a space or a line end after another character
+        apart = not any("\n" in p and len(p) > 1 or SPACE in p.lstrip(SPACE) for p in pieces)
+        self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if apart else r"[\s\S]+")
+        self.joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
+        self.kept = Recent(self.of_part, PARTS_BYTES, ENTRY_BYTES)
+
+    @staticmethod
+    def nodes(pieces: dict[str, tuple[int, float]]) -> dict:
+        root: dict = {}
         for piece, (i, score) in sorted(pieces.items()):
-            kids = self.trie
+            kids = root
             for c in piece[:-1]:
-                kids = kids.setdefault(c, ({}, None, 0.0))[0]
-            kids[piece[-1]] = (kids[piece[-1]][0] if piece[-1] in kids else {}, i, score)
-        alone = {c for c in SPACE + "\n" if not any(c in x[1:] and x[0] != c for x in joined)}
-        # spaces with what follows are parts to begin with; parts are cut further when they are learnt
-        self.first_cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if alone == {SPACE, "\n"} else re.compile(r"[\s\S]+")
-        self.kept = Kept(self.of_part)
-        self.atoms = Kept(self.of_atom)
+                kids = kids.setdefault(c, ({}, None, None))[0]
+            kids[piece[-1]] = (kids[piece[-1]][0] if piece[-1] in kids else {}, score, i)
+        return root
 
     @classmethod
     def load(cls, path: str, n: int = N_BEST) -> Pieces:
@@ -93,117 +133,106 @@ class Pieces:
         normal = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         return cls(normal, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n)
 
-    def lattice(self, part: str) -> tuple[list[list[tuple[int, float, int | None]]], list[float]]:
-        """The edges (start, score, id or None for an unknown character) by their end, and the forward Viterbi scores."""
-        size = len(part)
-        forward = [0.0] + [-1e300] * size
-        edges: list = [[] for _ in range(size + 1)]
+    def forward(self, part: str) -> list[float]:
+        """The Viterbi scores: of the best path from the start to each place."""
+        size, trie, unknown = len(part), self.trie, self.unknown
+        best = [0.0] + [-1e300] * size
         for i in range(size):
-            for j, score, piece in self.steps(part, i):
-                edges[j].append((i, score, piece))
-                forward[j] = max(forward[j], forward[i] + score)
-        return edges, forward
-
-    def steps(self, part: str, i: int) -> list[tuple[int, float, int | None]]:
-        """(end, score, id) of the pieces that begin at place i; a character without a piece makes one of its own."""
-        out: list = []
-        kids, j, size = self.trie, i, len(part)
-        while j < size and (node := kids.get(part[j])) is not None:
-            kids, piece, score = node
-            j += 1
-            if piece is not None:
-                out.append((j, score, piece))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, self.unknown, None))
+            here = best[i]
+            node = trie.get(part[i])
+            if node is None or node[1] is None:  # a character without a piece makes an edge of its own
+                best[i + 1] = max(best[i + 1], here + unknown)
+            j = i + 1
+            while node is not None:
+                kids, score, _ = node
+                if score is not None and here + score > best[j]:
+                    best[j] = here + score
+                if j == size or not kids:
+                    break
+                node = kids.get(part[j])
+                j += 1
+        return best
+
+    def edges(self, part: str, end: int) -> list[tuple[int, float, int | None]]:
+        """(start, score, id, None for an unknown character) of the pieces that end at a place, the shortest first."""
+        at = end - 1
+        node = self.back.get(part[at])
+        out: list = [(at, self.unknown, None)] if node is None or node[1] is None else []
+        while node is not None:
+            kids, score, piece = node
+            if score is not None:
+                out.append((at, score, piece))
+            if not at or not kids:
+                break
+            at -= 1
+            node = kids.get(part[at])
         return out
 
-    def ids_of(self, part: str, path: list[tuple[int, float, int | None]]) -> bytes:
+    def ids_of(self, part: str, step: Step) -> bytes:
+        """The ids of a complete path, from its first piece on."""
         ids: list[int] = []
-        for start, _, piece in path:
-            if piece is not None:
-                ids.append(piece)
+        while step.parent is not None:
+            if step.piece is not None:
+                ids.append(step.piece)
             else:
-                ids.extend([self.byte_ids[b] for b in part[start].encode("utf-8", "surrogatepass")])
+                ids.extend([self.byte_ids[b] for b in part[step.start].encode("utf-8", "surrogatepass")])
+            step = step.parent
         return array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes()
 
-    def search(self, part: str) -> list[tuple[float, bytes]]:
-        """The n best (score, ids) of one lattice, by A* from its end."""
-        edges, forward = self.lattice(part)
-        size = len(part)
-        # (minus the score of the whole path, starts from the end, place, score so far, edges from the end)
-        queue: list = [(-forward[size], (), size, 0.0, ())]
-        out = []
-        while queue and len(out) < self.n:
-            _, starts, end, behind, path = heapq.heappop(queue)
-            if not end:
-                out.append((behind, self.ids_of(part, path[::-1])))
-                continue
-            for edge in edges[end]:
-                so_far = behind + edge[1]
-                heapq.heappush(queue, (-(so_far + forward[edge[0]]), (*starts, edge[0]), edge[0], so_far, (*path, edge)))
-        return out
+    def paths(self, part: str) -> Iterator[tuple[float, bytes]]:
+        """(score, ids) of one lattice's paths, best first, by A* from its end."""
+        forward = self.forward(part)
+        queue = [(-forward[-1], Step(None, len(part), None), 0.0)]
+        while queue:
+            lost, step, behind = heappop(queue)
+            while step.start:
+                step.settled()
+                straight = None
+                for start, score, piece in reversed(self.edges(part, step.start)):
+                    entry = (-(behind + score + forward[start]), Step(step, start, piece), behind + score)
+                    if straight is None and entry[0] == lost:
+                        straight = entry  # it would be popped next: it scores as its parent, and its path is the least of these
+                    else:
+                        heappush(queue, entry)
+                _, step, behind = straight
+            yield behind, self.ids_of(part, step)
 
-    def of_atom(self, part: str) -> tuple[bytes, float, float]:
-        """(ids, score) of a lattice's best path, and what the second best loses, by the two best Viterbi scores of each place."""
-        size, trie, unknown = len(part), self.trie, self.unknown
-        best, second = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
-        into: list = [None] * (size + 1)
-        for i in range(size):
-            here, next_here = best[i], second[i]
-            kids, j, lone = trie, i, True
-            while j < size:
-                node = kids.get(part[j])
-                if node is None:
-                    break
-                kids, piece, score = node
-                j += 1
-                if piece is not None:
-                    if j == i + 1:
-                        lone = False
-                    total = here + score
-                    if total > best[j]:
-                        second[j] = max(best[j], next_here + score)
-                        best[j], into[j] = total, (i, score, piece)
-                    elif total > second[j]:
-                        second[j] = total
-            if lone:
-                j = i + 1
-                total = here + unknown
-                if total > best[j]:
-                    second[j] = max(best[j], next_here + unknown)
-                    best[j], into[j] = total, (i, unknown, None)
-                elif total > second[j]:
-                    second[j] = total
-        path, at = [], size
-        while at:
-            path.append(into[at])
-            at = into[at][0]
-        return self.ids_of(part, path[::-1]), best[size], best[size] - second[size] if second[size] > -1e200 else float("inf")
-
-    def cut(self, part: str) -> list[str]:
-        """The atoms of a part: it is cut where no piece spans."""
-        joined, out, start = self.joined, [], 0
-        for at in range(1, len(part)):
-            if part[at - 1 : at + 1] not in joined:
-                out.append(part[start:at])
-                start = at
-        out.append(part[start:])
-        return out
+    def search(self, part: str) -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of one lattice."""
+        return list(islice(self.paths(part), self.n))
 
     def of_part(self, part: str) -> tuple[bytes, float, float]:
-        """(ids, score, loss of the second best) of a part."""
-        atoms = list(map(self.atoms.__getitem__, self.cut(part)))
-        return atoms[0] if len(atoms) == 1 else (b"".join([x[0] for x in atoms]), sum([x[1] for x in atoms]), min([x[2] for x in atoms]))
-
-    def n_best_of_part(self, part: str) -> list[tuple[float, bytes]]:
-        """The n best (score, ids) of a part, its atoms' n best combined."""
-        best: list[tuple[float, bytes]] = [(0.0, b"")]
-        for x in self.cut(part):
-            right = self.search(x)
-            both = [(a + b, i, j) for i, (a, _) in enumerate(best) for j, (b, _) in enumerate(right) if i + j < self.n]
-            both.sort(key=lambda y: (-y[0], y[1], y[2]))
-            best = [(score, best[i][1] + right[j][1]) for score, i, j in both[: self.n]]
-        return best
+        """(ids, score) of a lattice's best path, and what the second best loses.
+
+        These are the steps of ``paths`` up to its first path: the step taken
+        next has the best score and is the last one's child, so of the waiting
+        ones only the best score matters. Where no piece spans the place before
+        the last character, as before most marks, both sides are known apart.
+        """
+        if 1 < len(part) <= SHORT and part[-2:] not in self.joined:
+            a, b = self.kept[part[:-1]], self.kept[part[-1]]
+            return a[0] + b[0], a[1] + b[1], min(a[2], b[2])
+        forward = self.forward(part)
+        best, second, behind, end = forward[-1], -inf, 0.0, len(part)
+        ids: list[int] = []
+        while end:
+            found = None
+            for edge in reversed(self.edges(part, end)):
+                total = behind + edge[1] + forward[edge[0]]
+                if found is None and total == best:
+                    found = edge
+                elif total > second:
+                    second = total
+            end, score, piece = found
+            behind += score
+            if piece is not None:
+                ids.append(piece)
+            else:
+                ids.extend([self.byte_ids[b] for b in reversed(part[end].encode("utf-8", "surrogatepass"))])
+        ids.reverse()
+        return array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes(), best, best - second
+
+    of_atom = of_part
 
     def n_best(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a text, best first.
@@ -214,7 +243,7 @@ class Pieces:
         """
         if not text:
             return [(0.0, np.empty(0, "<i4"))]
-        parts = self.first_cut.findall(SPACE + text.replace(" ", SPACE))
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
         known = list(map(self.kept.__getitem__, parts))
         base = sum([x[1] for x in known])
         losses = np.array([x[2] for x in known])
@@ -222,7 +251,7 @@ class Pieces:
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         others: dict[int, list[tuple[float, bytes]]] = {}
         for k in sorted(int(x) for x in order if losses[x] < np.inf):
-            others[k] = self.n_best_of_part(parts[k])
+            others[k] = self.search(parts[k])
             top = others[k][0][0]
             more = [(loss + top - score, (*changes, (k, r)) if r else changes) for loss, changes in options for r, (score, _) in enumerate(others[k])]
             more.sort(key=lambda x: (x[0], len(x[1]), x[1]))
@@ -255,7 +284,7 @@ class Speller(dict):
 
 @cache
 def loaded(path: str, n: int) -> tuple[Pieces, Speller]:
-    """One model with its parts for a worker process, whatever its tasks (tasks find it by this function's name)."""
+    """One model for a worker process, whatever its tasks (tasks find it by this function's name). Parts are kept for a task."""
     model = Pieces.load(path, n)
     return model, Speller(model)
 
@@ -268,9 +297,15 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, speller = loaded(path, n)
+        try:
+            yield from rows_of(batches, model, speller)
+        finally:
+            model.kept.forget()  # the worker may go on with other stages' tasks
+
+    def rows_of(batches: Iterator[pa.RecordBatch], model: Pieces, speller: Speller) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows, place = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(batch.column("__text").to_pylist()):
                 plain = (text or "").replace(SPACE, " ")
                 for rank, (score, ids) in enumerate(model.n_best(text), 1):
                     rows.append((rank, score, len(ids), zlib.crc32(ids.tobytes()), speller.text(ids) == plain, ids if with_ids else None))
@@ -290,7 +325,10 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
 
 def encode_n_best(docs: DataFrame, model_path: str, n: int = N_BEST, with_ids: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each of the n best segmentations of each text: keep's columns, rank (from 1), score, n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_equal (decoding gives the text back) and, with_ids, the ids."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     made = SCHEMA if with_ids else SCHEMA.removesuffix(", ids array<int>")
-    source = docs.select(*keep, docs[text].alias("text"))
+    clashing = {c.lower() for c in keep} & {"rank", "score", "n_pieces", "ids_crc32", "decoded_equal", "ids", "__text"}
+    if clashing:
+        raise ValueError(f"columns of the result have these names: {', '.join(sorted(clashing))}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    source = docs.select(*keep, docs[text].alias("__text"))
     return source.mapInArrow(_encoded(model_path, n, with_ids, list(keep)), f"{kept}, {made}")
