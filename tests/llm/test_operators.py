@@ -576,3 +576,59 @@ def test_odd_texts_get_scores(spark):
 
 def test_oracles_run(small):
     assert len(oracle(entry.OP10_SQL, small)) == 200
+
+
+def test_sets_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NODE_BITS", 3)
+    made = random.Random(13)
+    texts = []
+    for k in range(12):
+        base = [f"n{k}_{i}" for i in range(40)]
+        texts += [edited(base, made, e) for e in (0, 0, 1, 3)]
+    ids = list(range(len(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts, ids=ids)).collect()}
+    assert got == dict(zip(ids, brute_components(texts, ids), strict=True))
+
+
+def test_n_best_of_ties_and_of_a_long_part():
+    table = {"a": (0, -1.0), "aa": (1, -2.0), "aaa": (2, -3.0), "b": (3, -0.3), "ab": (4, -1.3), "▁": (5, -1.0)}
+    model = pieces.Pieces(table, list(range(100, 356)), 5)
+    for text in ("aaaaa", "aabab", "x", "aaaaaaaa", "baaab"):
+        want = all_paths(model, {p: (i, round(s * pieces.GRID) / pieces.GRID) for p, (i, s) in table.items()}, text)
+        names = {i: p for p, (i, _) in table.items()}
+        longest_last = lambda x: (-x[0], [-len(names.get(i, "x")) for i in reversed(x[1])])  # noqa: E731, B023
+        assert [(s, tuple(np.frombuffer(i, "<i4").tolist())) for s, i in model.search(text)] == sorted(want, key=longest_last)[:5]
+        ids, score, loss = model.of_part(text)
+        found = model.search(text)
+        assert (score, ids) == found[0] and loss == (score - found[1][0] if len(found) > 1 else float("inf"))
+    found = model.search("a" * 50_000)
+    assert len(found) == 5 and {s for s, _ in found} == {-50_000.0}
+
+
+def test_names_of_the_result_are_refused(spark, model_path):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, RANK string")
+    with pytest.raises(ValueError, match="rank"):
+        pieces.encode_n_best(docs, model_path, keep=("doc_id", "RANK"))
+    assert pieces.encode_n_best(docs, model_path, keep=("doc_id", "text")).first().text == "a b"
+
+
+def test_recent_results_are_bounded():
+    from veilframe.llm.common import Recent
+
+    made = []
+    kept = Recent(lambda k: made.append(k) or len(k), 20_000, 100)
+    for i in range(1000):
+        assert kept[f"k{i}"] == len(f"k{i}") and kept["often"] == 5
+    assert kept["x" * 300] == 300 and "x" * 300 not in kept
+    assert made.count("often") == 1 and len(kept) + len(kept.older) < 200
+
+
+def test_a_long_chunk_is_not_kept(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    known = token_files.ChunkIds(path, "<u2")
+    texts = ["z" * 5000 + " it, it. it 12", "word, " * 50]
+    plain = [np.asarray(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert known.texts(texts) == plain and max(map(len, known)) <= token_files.LONGEST
+    known.held = token_files.KEPT_BYTES
+    assert known.texts(texts[::-1]) == plain[::-1] and known.older

@@ -3,7 +3,8 @@
 A document's set holds the hashes of its distinct shingles, of 3 words if not told otherwise. Two sets
 link when their Jaccard similarity reaches a threshold. The join is exact:
 
-1. Equal sets are one node, so copies cost nothing beyond the first.
+1. Equal sets (by 128 bits of their elements) are one node, so copies cost
+   nothing beyond the first.
 2. Sizes fall into bands. Sets x, y with |x| <= |y| that link differ in at
    most d = |x| * (1 - t) / t elements. In x's band, hash space is cut into
    more slices than d allows to differ, so linked sets agree on a whole
@@ -34,6 +35,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import join_null_safe, lookup, settled, written
+from veilframe.llm.common import Recent, join_null_safe, lookup, settled, sliced, written
 from veilframe.llm.components import components
 
 #: Words of a shingle; the threshold as a fraction.
@@ -56,8 +58,11 @@ BITS = 8
 #: Orders of nodes by which tiles choose hubs, and members of a block of a tile whose pairs are compared in one go.
 ORDERS = 8
 BLOCK = 512
-#: Distinct words whose hashes a worker keeps.
-WORDS_KEPT = 400_000
+#: Bytes of words and their hashes that a worker keeps, about; pairs that a task remembers so as not to repeat them.
+KEPT_BYTES = 48 << 20
+PAIRS_SEEN = 100_000
+#: Bits of a node's first id. Sets that share one get ids of their own, see _numbered.
+NODE_BITS = 64
 
 _C = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -69,27 +74,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen."""
+def word_hashes(seed: int) -> Recent:
+    """64-bit hashes of a task's recent words."""
+    return Recent(lambda word: xxhash.xxh3_64_intdigest(word, seed=seed), KEPT_BYTES, 160)
 
-    def __init__(self, seed: int) -> None:
-        super().__init__()
-        self.seed = seed
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word, seed=self.seed)
-        return found
-
-
-@cache
-def word_hashes(seed: int) -> WordHashes:
-    """The words of a worker process, whatever its tasks (tasks find them by this function's name)."""
-    return WordHashes(seed)
-
-
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, hashes: Recent, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles. bytes.lower and bytes.split know ASCII only, as wanted."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
@@ -185,17 +175,22 @@ def bitmap(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.packbits(set_bits, bitorder="little").view(np.uint64)
 
 
-def _signatures(seed: int, bands: Bands, size: int):
+def set_key(h: np.ndarray, seed: int) -> bytes | None:
+    """128 bits of a set; null if it is empty."""
+    return xxhash.xxh3_128_digest(h.tobytes(), seed=seed) if len(h) else None
+
+
+def _signatures(seed: int, bands: Bands, size: int, node_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = word_hashes(seed), set()  # copies of a set in one task make tiles once
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, nodes, keys, all_tiles, maps = [], [], [], [], []
             for text in batch.column("text"):
                 h = shingles(text.as_py(), hashes, size)
                 sizes.append(len(h))
-                digest = xxhash.xxh3_128_digest(h.tobytes(), seed=seed) if len(h) else None
+                digest = set_key(h, seed)
                 keys.append(digest)
-                nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
+                nodes.append(int.from_bytes(digest[:8], "little", signed=True) >> (64 - node_bits) if digest else None)
                 linkable = bands.of(len(h)) >= 0 and digest not in seen
                 seen.add(digest)
                 all_tiles.append(tiles(h, bands).view(np.int64) if linkable else np.empty(0, np.int64))
@@ -214,15 +209,14 @@ def _signatures(seed: int, bands: Bands, size: int):
 
 
 def _packed(seed: int, size: int):
-    """Rows (node, text): the compressed texts of those whose set has that node."""
+    """Rows (node, set_key, text): the compressed texts of those whose set has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = word_hashes(seed), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, blobs = [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingles(text, hashes, size)
-                if len(h) and int.from_bytes(xxhash.xxh3_128_digest(h.tobytes(), seed=seed)[:8], "little", signed=True) == node:
+            for node, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "set_key", "text")), strict=True):
+                if set_key(shingles(text, hashes, size), seed) == key:
                     nodes.append(node)
                     blobs.append(pack.compress(text.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "packed"])
@@ -288,14 +282,15 @@ def _across(numerator: int, denominator: int):
     A group holds the members of two blocks of a tile, or of one.
     """
 
-    def passing(rows: dict[str, list]) -> Iterator[tuple[int, int]]:
-        node, label = np.array(rows["node"], np.int64), np.array(rows["label"], np.int64)
-        n, block = np.array(rows["n"], np.int64), np.array(rows["block"], np.int64)
+    def passing(table: pa.Table) -> Iterator[tuple[int, int]]:
+        node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
         if label.min() == label.max():
             return
-        width = min(len(x) for x in rows["bits"])
-        bits = np.stack([np.bitwise_or.reduce(np.asarray(x, np.int64).view(np.uint64).reshape(-1, width), axis=0) for x in rows["bits"]])
-        one_block = rows["low"][0] == rows["high"][0]
+        lists = table.column("bits").combine_chunks()
+        flat, widths = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+        ends, width = np.cumsum(widths), int(widths.min())
+        bits = np.stack([np.bitwise_or.reduce(flat[end - w : end].reshape(-1, width), axis=0) for end, w in zip(ends.tolist(), widths.tolist(), strict=True)])
+        one_block = table.column("low")[0] == table.column("high")[0]
         for i in range(len(node)):
             other = (label != label[i]) & (denominator * np.minimum(n, n[i]) >= numerator * np.maximum(n, n[i]))
             other &= (node > node[i]) if one_block else (block > block[i])
@@ -310,42 +305,48 @@ def _across(numerator: int, denominator: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # pairs that this task has let pass; only saves repetition
-        rest: pa.Table | None = None
 
-        def groups(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
-            keys = np.stack([table.column(c).to_numpy() for c in ("tile", "low", "high")])
-            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-            ends = np.r_[starts[1:], table.num_rows]
-            whole = len(starts) if last else len(starts) - 1
-            out = []
-            for a, b in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
-                if b - a > 1:
-                    out.extend(p for p in passing(table.slice(a, b - a).to_pydict()) if p not in seen)
-                    if len(seen) > 1_000_000:
+        def new(group: pa.Table) -> Iterator[tuple[int, int]]:
+            for pair in passing(group) if group.num_rows > 1 else ():
+                if pair not in seen:
+                    if len(seen) >= PAIRS_SEEN:
                         seen.clear()
-                    seen.update(out[-BLOCK * BLOCK :])
-            return out, table.slice(int(starts[whole]) if whole < len(starts) else table.num_rows)
+                    seen.add(pair)
+                    yield pair
 
-        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None or not rest.num_rows else pa.concat_tables([rest, table])
-            if table.num_rows:
-                pairs, rest = groups(table, last=False)
-                yield made(pairs)
-        if rest is not None and rest.num_rows:
-            yield made(groups(rest, last=True)[0])
+        for group in grouped(batches, ("tile", "low", "high")):
+            pairs = new(group)
+            while some := list(islice(pairs, PAIRS_SEEN)):
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys, also where a run goes on in the next batch. Keys are whole numbers without nulls."""
+    parts: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys])
+        starts = np.flatnonzero(np.r_[True, (values[:, 1:] != values[:, :-1]).any(axis=0)]).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(values[:, start].tolist())
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            last = key
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, numerator: int, denominator: int, size: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, written."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = join_null_safe(docs.select("doc_id", "text"), lookup(written(wanted, "wanted")), ["doc_id"], "inner").select("node", "text")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id", "set_key"), "node")
+    texts = join_null_safe(docs.select("doc_id", "text"), lookup(written(wanted, "wanted")), ["doc_id"], "inner").select("node", "set_key", "text")
     packed = written(texts.mapInArrow(_packed(seed, size), "node long, packed binary"), "packed").dropDuplicates(["node"])
     packed = written(packed, "packed")
     with_a = pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
@@ -362,17 +363,32 @@ def _text_hash() -> Column:
     return F.xxhash64("text")
 
 
+def _numbered(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets, and nodes (node, doc_id, set_key), where every distinct set_key has a node id of its own.
+
+    Ids of 64 bits save half of the largest shuffles. Among very many sets a
+    few share an id; all of these get another one from their 128-bit key, and
+    only these, until every id is one set's.
+    """
+    turn = 0
+    while True:
+        nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("set_key").alias("set_key"), F.max("set_key").alias("other"))
+        nodes = written(nodes, "nodes")
+        shared = nodes.where("set_key <> other")
+        if shared.isEmpty():
+            return sets, nodes.select("node", "doc_id", "set_key")
+        turn += 1
+        own = sets.join(lookup(written(shared.select("node"), "shared")), "node", "left_semi").select("set_key").distinct()
+        own = lookup(written(own.withColumn("own", F.xxhash64("set_key", F.lit(turn))), "own"))
+        sets = written(sets.join(own, "set_key", "left").withColumn("node", F.coalesce("own", "node")).select(*sets.columns), "sets")
+
+
 def _joined(docs: DataFrame, numerator: int, denominator: int, seed: int, size: int, by_text: bool = False) -> DataFrame:
-    """The join; by_text, (doc_id, text_hash, label) of the rows with a set, where label is the component's. Node ids are 64 bits of a 128-bit set hash; should two sets share them, which a check over all nodes would show, everything is done again with another seed."""
+    """The join; by_text, (doc_id, text_hash, label) of the rows with a set, where label is the component's."""
     bands = Bands(numerator, denominator)
     schema = "doc_id long, " + "text_hash long, " * by_text + "n_shingles long, node long, set_key binary, tiles array<long>, bits array<long>"
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_text_hash().alias("text_hash")] * by_text, "text").mapInArrow(_signatures(seed, bands, size), schema), "sets")
-    nodes = written(
-        sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("set_key").alias("k"), F.max("set_key").alias("l")),
-        "nodes",
-    )
-    if not nodes.where(F.col("k") != F.col("l")).isEmpty():
-        return _joined(docs, numerator, denominator, seed + 1, size, by_text)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_text_hash().alias("text_hash")] * by_text, "text")
+    sets, nodes = _numbered(written(read.mapInArrow(_signatures(seed, bands, size, NODE_BITS), schema), "sets"))
 
     placed = sets.select("node", F.explode("tiles").alias("tile"))
     order = F.xxhash64(F.pmod("tile", F.lit(ORDERS)))
