@@ -8,25 +8,36 @@ that equal values stay equal across documents and nothing needs a table:
   permuted, the Luhn digit is computed anew.
 * date: a real calendar day from 1900 to 2099, as 2024-05-31, 2024/05/31,
   31.05.2024 or 31/05/2024; the days of that span are permuted.
-* ip: an IPv4 address with four numbers up to 255; the 32 bits are permuted.
+* ip: an IPv4 address with four numbers up to 255; the 32 bits are permuted,
+  unicast addresses (first number 1 to 223, but not 127) among themselves and
+  the others among themselves.
 * phone: +, a country code, and ten digits with a bracketed area code or in
-  groups; the ten digits are permuted.
-* ssn: three, two and four digits with dashes, with an area that is assigned;
-  the nine digits are permuted.
+  groups; the ten digits are permuted. Under country code 1, numbers whose area
+  and exchange begin with 2 to 9 stay such numbers, and others stay others.
+* ssn: three, two and four digits with dashes, with an area, group and serial
+  that can be assigned; the nine digits are permuted among those values.
 * email: the letters and digits of the local part are permuted within their
   own class (small and capital letters, with and without Latin-1's marks,
-  digits); the domain stays.
-* secret: 32 to 64 hexadecimal digits of one case with both letters and
-  digits, after a name like token, key, secret or password; the digits are
-  permuted.
+  digits); marks before its first letter or digit and the domain stay.
+* secret: 32 or more hexadecimal digits of one case after a name like token,
+  key, secret or password, whose digits are permuted; and access keys that begin
+  with AKIA or ASIA, or with ghp_ and its like, whose other characters are permuted within their class.
+  Keys of other forms are not looked for.
 
 A permutation is an alternating Feistel network: one half is shifted by a
-SHA-256 of the key, the kind, the round and the other half. Values that fail
+SHA-256 of the key, the kind, the round and the other half. Where not every
+value of a format is valid, the permutation is applied until it gives a value
+of the same class (cycle walking, which permutes each class). Values that fail
 validation stay as they are.
 
+No pattern repeats a group that can be left again, and each starts only where
+a run of its characters starts, so a long text takes time in proportion and no
+stack.
+
 Defined results: a null text stays null with no findings; an empty one is
 unchanged; equal rows get equal results; an empty table gives an empty one.
-Other columns pass through. Matches never overlap: the text is scanned once,
+Other columns pass through, but for own columns called ``n_<kind>``, which are
+refused. Matches never overlap: the text is scanned once,
 from the left, with the kinds in the order of ``KINDS``.
 """
 
@@ -42,9 +53,14 @@ ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
 
 #: Fixed values, one pattern a kind: what may not stand before a value, and the value. Later kinds don't match inside earlier ones' matches.
+_LOCAL = r"\p{L}\p{N}._%+-"
 KINDS = {
-    "email": ("", r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "secret": ("", r"(?i:token|secret|password|passwd|api_?key|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"),
+    "email": (rf"(?:(?<![{_LOCAL}])|\G)", rf"[._%+-]*+[\p{{L}}\p{{N}}][{_LOCAL}]*+@[A-Za-z0-9-]++(?:\.(?![A-Za-z]{{2}})[A-Za-z0-9-]++)*+\.[A-Za-z]{{2}}[A-Za-z0-9-]*+"),
+    "secret": (
+        "",
+        r"(?:(?i:token|secret|password|passwd|api_?key|key)[\"']?\s*+[=:]\s*+[\"']?(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)"
+        r"|(?<![0-9A-Za-z])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36,}+))(?![0-9A-Za-z])",
+    ),
     "ip": (r"(?<![0-9.])", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     "date": (r"(?<![0-9])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"),
     "phone": ("", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
@@ -52,45 +68,53 @@ KINDS = {
     "card": (r"(?<![0-9])", r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"),
 }
 ANY = "|".join(f"(?:{before}{value})" for before, value in KINDS.values())
-#: Every match holds one of the characters of FIRST and one of the forms of HINT; most texts skip the scan.
-FIRST = "[0-9@]"
-HINT = r"@[A-Za-z0-9]|[0-9]{13}|[0-9]{4}[ -][0-9]{4}|[0-9]\.[0-9]{1,3}\.[0-9]|[0-9]{4}[/-][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|\+[0-9]|[0-9]{3}-[0-9]{2}-[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
+#: Every match holds one of these forms; most texts skip the scan.
+HINT = r"@[A-Za-z0-9-]|[0-9]{13}|[0-9]{4}[ -][0-9]{4}|[0-9]\.[0-9]{1,3}\.[0-9]|[0-9]{4}[/-][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|\+[0-9]|[0-9]{3}-[0-9]{2}-[0-9]|[0-9a-f]{32}|[0-9A-F]{32}|A[KS]IA[0-9A-Z]{16}|gh[oprsu]_"
+#: Halves over so many characters count by their SHA-256; steps of a cycle walk at most (a class has at least an eighth of the values, so fewer than one walk in 10^11 is that long).
+LONG_HALF, WALK = 64, 200
 
 
-def _stream(key: Column, kind: str, step: int, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit(str(step)), half), 256)
+def _stream(key: Column, kind: str, step: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, F.lit(kind), step.cast("string"), half), 256)
 
 
-def _number(key: Column, kind: str, step: int, half: Column) -> Column:
+def _number(key: Column, kind: str, step: Column, half: Column) -> Column:
     """60 bits of the round function."""
     return F.conv(F.substring(_stream(key, kind, step, half), 1, 15), 16, 10).cast("long")
 
 
+def _rounds(pair: Column, move) -> Column:
+    """ROUNDS steps on struct(a, b): move(step, half, other, is_a) is the half's new value, a's at even steps."""
+
+    def one(p: Column, step: Column) -> Column:
+        even = step % 2 == 0
+        return F.struct(F.when(even, move(step, p["a"], p["b"], True)).otherwise(p["a"]).alias("a"), F.when(even, p["b"]).otherwise(move(step, p["b"], p["a"], False)).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, one)
+
+
 def permute_pair(key: Column, kind: str, a: Column, b: Column, n_a: int, n_b: int) -> Column:
     """struct(a, b) of a permutation of the pairs with a < n_a and b < n_b."""
 
-    def second(step: int):
-        return lambda p: F.struct(p["a"].alias("a"), ((p["b"] + _number(key, kind, step, p["a"].cast("string"))) % n_b).alias("b"))
-
-    def first(step: int):
-        return lambda p: F.struct(((p["a"] + _number(key, kind, step, p["b"].cast("string"))) % n_a).alias("a"), p["b"].alias("b"))
+    def move(step: Column, half: Column, other: Column, is_a: bool) -> Column:
+        return (half + _number(key, kind, step, other.cast("string"))) % (n_a if is_a else n_b)
 
-    pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    for step in range(ROUNDS):
-        pair = let(pair, second(step) if step % 2 else first(step))
-    return pair
+    return _rounds(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), move)
 
 
 def permute_string(key: Column, kind: str, value: Column, alphabets: tuple[str, ...]) -> Column:
     """A string with each character permuted inside its alphabet, other characters kept in place.
 
     The halves alternate; each character of one is shifted by a hash of the
-    other half and of its own place.
+    other half (of its SHA-256, if it is long) and of its own place.
     """
 
-    def shifted(step: int, half: Column, other: Column) -> Column:
+    def move(step: Column, half: Column, other: Column, is_a: bool) -> Column:
+        return let(F.when(F.char_length(other) > LONG_HALF, F.sha2(other, 256)).otherwise(other), lambda x: shifted(step, half, x))
+
+    def shifted(step: Column, half: Column, other: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            amount = F.conv(F.substring(_stream(key, kind, step, F.concat_ws("|", i.cast("string"), other)), 1, 15), 16, 10).cast("long")
+            amount = _number(key, kind, step, F.concat_ws("|", i.cast("string"), other))
             out = c
             for letters in reversed(alphabets):
                 at = F.instr(F.lit(letters), c)
@@ -101,17 +125,19 @@ def permute_string(key: Column, kind: str, value: Column, alphabets: tuple[str,
         chars = F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ""))
         return F.array_join(F.transform(chars, one), "")
 
-    def second(step: int):
-        return lambda p: F.struct(p["a"].alias("a"), shifted(step, p["b"], p["a"]).alias("b"))
-
-    def first(step: int):
-        return lambda p: F.struct(shifted(step, p["a"], p["b"]).alias("a"), p["b"].alias("b"))
-
     middle = F.ceil(F.char_length(value) / 2).cast("int")
     pair = F.struct(F.substring(value, F.lit(1), middle).alias("a"), F.substring(value, middle + 1, F.char_length(value)).alias("b"))
-    for step in range(ROUNDS):
-        pair = let(pair, second(step) if step % 2 else first(step))
-    return let(pair, lambda p: F.concat(p["a"], p["b"]))
+    return let(_rounds(pair, move), lambda p: F.concat(p["a"], p["b"]))
+
+
+def walked(value: Column, permute, kind_of) -> Column:
+    """permute(value), again and again until kind_of is what it is of value."""
+    state = F.struct(permute(value).alias("v"), kind_of(value).alias("k"))
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(kind_of(s["v"]) == s["k"], s).otherwise(F.struct(permute(s["v"]).alias("v"), s["k"].alias("k")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state, step, lambda s: s["v"])
 
 
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -180,33 +206,47 @@ def _date(key: Column, m: Column) -> Column:
 
 def _ip(key: Column, m: Column) -> Column:
     parts = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
-    pair = let(parts, lambda p: permute_pair(key, "ip", F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1)), F.get(p, F.lit(2)) * 256 + F.get(p, F.lit(3)), 65536, 65536))
-    text = let(pair, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(p["a"], 8), p["a"] % 256, F.shiftright(p["b"], 8), p["b"] % 256)]))
+    pair = let(parts, lambda p: F.struct((F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1))).cast("long").alias("a"), (F.get(p, F.lit(2)) * 256 + F.get(p, F.lit(3))).cast("long").alias("b")))
+    unicast = lambda p: (p["a"] >= 256) & (p["a"] < 224 * 256) & (F.shiftright(p["a"], 8) != 127)
+    new = let(pair, lambda p: walked(p, lambda v: permute_pair(key, "ip", v["a"], v["b"], 65536, 65536), unicast))
+    text = let(new, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(p["a"], 8), p["a"] % 256, F.shiftright(p["b"], 8), p["b"] % 256)]))
     return F.when(F.forall(parts, lambda x: x < 256), text)
 
 
 def _phone(key: Column, m: Column) -> Column:
     d = _digits(m)
     body = F.substring(d, F.char_length(d) - 9, F.lit(10))
-    return let(permute_string(key, "phone", body, (DIGITS,)), lambda x: _fill(m, F.concat(F.substring(d, F.lit(1), F.char_length(d) - 10), x)))
+    country = F.substring(d, F.lit(1), F.char_length(d) - 10)
+    dialled = lambda v: (country != "1") | v.rlike("^[2-9]..[2-9]")
+    return let(walked(body, lambda v: permute_string(key, "phone", v, (DIGITS,)), dialled), lambda x: _fill(m, F.concat(country, x)))
 
 
 def _ssn(key: Column, m: Column) -> Column:
-    valid = ~m.rlike("^(?:000|666|9)|-00-|-0000$")
-    return F.when(valid, let(permute_string(key, "ssn", _digits(m), (DIGITS,)), lambda x: _fill(m, x)))
+    assignable = lambda v: ~v.rlike("^(?:000|666|9)|^...00|0000$")
+    d = _digits(m)
+    return F.when(assignable(d), let(walked(d, lambda v: permute_string(key, "ssn", v, (DIGITS,)), assignable), lambda x: _fill(m, x)))
 
 
 def _email(key: Column, m: Column) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(permute_string(key, "email", local, (DIGITS, SMALL, CAPITAL, SMALL_MARKED, CAPITAL_MARKED)), F.substring(m, F.char_length(local) + 1, F.char_length(m)))
+    marks = F.regexp_extract(m, r"^[._%+-]*", 0)
+    rest = F.substring(m, F.char_length(marks) + 1, F.char_length(m))
+    local = F.substring_index(rest, "@", 1)
+    new = permute_string(key, "email", local, (DIGITS, SMALL, CAPITAL, SMALL_MARKED, CAPITAL_MARKED))
+    return F.concat(marks, new, F.substring(rest, F.char_length(local) + 1, F.char_length(rest)))
 
 
 def _secret(key: Column, m: Column) -> Column:
-    digits = F.regexp_extract(m, "([0-9a-f]{32,64}|[0-9A-F]{32,64})$", 1)
-    name = F.substring(m, F.lit(1), F.char_length(m) - F.char_length(digits))
-    small = permute_string(key, "secret", digits, ("0123456789abcdef",))
-    large = permute_string(key, "secret", digits, ("0123456789ABCDEF",))
-    return F.concat(name, F.when(digits.rlike("[A-F]"), large).otherwise(small))
+    of_its_own = r"^(?:A[KS]IA|gh[oprsu]_)"
+    body = F.when(m.rlike(of_its_own), F.regexp_replace(m, of_its_own, "")).otherwise(F.regexp_extract(m, "([0-9a-f]{32,}+|[0-9A-F]{32,}+)$", 1))
+
+    def replaced(x: Column) -> Column:
+        letters = permute_string(key, "secret", x, (DIGITS, SMALL, CAPITAL))
+        small = permute_string(key, "secret", x, ("0123456789abcdef",))
+        large = permute_string(key, "secret", x, ("0123456789ABCDEF",))
+        new = F.when(m.rlike(of_its_own), letters).when(x.rlike("[A-F]"), large).otherwise(small)
+        return F.concat(F.substring(m, F.lit(1), F.char_length(m) - F.char_length(x)), new)
+
+    return let(body, replaced)
 
 
 _REPLACE = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
@@ -235,10 +275,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     The key is a secret of the caller. It is joined as a one-row table, so that
     no plan shows it.
     """
+    clashing = {c.lower() for c in docs.columns} & {f"n_{k}" for k in KINDS}
+    if clashing:
+        raise ValueError(f"columns of the result have these names: {', '.join(sorted(clashing))}")
     spark = docs.sparkSession
     secret = F.broadcast(spark.createDataFrame([(key,)], "__key string"))
     keyed = docs.crossJoin(secret)  # one row: a constant that the plan doesn't print
-    found = F.when(F.col(text).rlike(FIRST) & F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))
+    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))
     new = F.transform(found, lambda m: _replaced(F.col("__key"), m))
     with_found = keyed.withColumn("__new", F.when(F.size(found) > 0, new))
     return _rebuilt(with_found, docs, text)
