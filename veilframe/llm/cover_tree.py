@@ -1,49 +1,71 @@
-"""Exact top-k inner products by a dual search of one cover tree over queries and data.
+"""Exact top-k inner products by a dual search of cover trees over queries and data.
 
-Vectors are dealt by a hash of their id into blocks, queries into query
-blocks; a task holds one pair of blocks. It builds a single tree over both: a
-node has a centre, the radius that covers its members, and children whose
-radii are smaller by a factor. The search walks pairs (node with queries, node with
-data). By Cauchy-Schwarz, a pair's scores are at most
+Rows are assigned to the nearest of at most MAX_CELLS centres, a sample of
+rows (those with the smallest hash of their row). A cell's rows are dealt by
+hash into blocks. A query is searched in one block of its own cell first, which
+gives it a worst k-th score; then it goes to every block of the cells whose
+bound reaches that score, and to no other. Blocks' answers are merged by query.
+
+A task holds one block of data and up to QUERY_ROWS queries, and builds one
+cover tree over both. A node's centre is one of its points. A node at level l
+covers its points within BASE ** l; its children's centres are its own centre
+and others, at distances over BASE ** (l - 1) from each other, such that each
+point is within BASE ** (l - 1) of one; levels at which a node would have no child but
+itself are skipped. The search walks pairs (node with queries, node with
+data). By Cauchy-Schwarz a pair's scores are at most
 
     <q, d> + |q| r_d + |d| r_q + r_q r_d
 
-for centres q, d and radii r_q, r_d. A pair is pruned if that is under the
-worst k-th score of the node's queries. Blocks' answers are then merged by
-query. Scores are integers, computed exactly.
+for centres q, d and covering radii r_q, r_d. A pair is pruned if that is under
+the worst k-th score of the node's queries. Scores are integers, computed
+exactly as long as they fit 64 bits.
+
+Vectors without structure (equal distances) make a tree of two levels, whose
+search is one matrix product, and no cell can be pruned: every query meets
+every block, as in any exact search.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows without an id; of rows with equal ids the smallest
-vector counts; vectors are compared with those of equal length only; equal
-scores go to the smaller id; a query with no other vectors has no rows.
+take no part, nor do rows without an id; vectors are compared with those of
+equal length only; candidates of a query are all rows whose id isn't the
+query's, each for itself where ids repeat; rows that repeat a query's id and
+vector are one query, and the answers of different vectors of one query id are
+ranked together; equal scores go to the smaller id; a query with no other
+vectors has no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor, log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import written
+from veilframe.llm.common import lookup, written
 
-#: Rows of a block and of a query block, about: two of them bound a task's memory.
+#: Rows of a block and queries of a task, about: they bound a task's memory.
 BLOCK_ROWS = 2_048
-QUERY_ROWS = 4_096
-#: A child covers with its parent's radius divided by this (small, since distances concentrate in many dimensions).
+QUERY_ROWS = 1_024
+#: Rows of a cell, about, and cells at most: their centres travel to every task.
+CELL_ROWS = 8_192
+MAX_CELLS = 2_048
+#: A child covers within its parent's distance divided by this (small, since distances concentrate in many dimensions).
 BASE = 1.25
-LEAF = 48
 EXACT_FLOAT = 2.0**52
 
 
 class Node:
-    """Members (places in the block's arrays), split into queries and data, their centre and radius."""
+    """Places of queries and of data in the block's arrays, the centre's place, and the radius that covers them.
+
+    Children cover within BASE ** level, and their centres are farther apart; level is None where there are none.
+    """
 
-    __slots__ = ("centre", "children", "data", "norm", "queries", "radius")
+    __slots__ = ("centre", "children", "data", "level", "place", "queries", "radius")
 
-    def __init__(self, points: np.ndarray, members: np.ndarray, n_queries: int, centre: np.ndarray, radius: float) -> None:
-        self.centre, self.radius = centre, radius
-        self.norm = float(np.linalg.norm(centre))
+    def __init__(self, points: np.ndarray, members: np.ndarray, n_queries: int, place: int, radius: float) -> None:
+        self.place, self.centre, self.radius, self.level = place, points[place], radius, None
         self.queries, self.data = members[members < n_queries], members[members >= n_queries]
         self.children: list[Node] = []
 
@@ -53,108 +75,165 @@ def distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def build(points: np.ndarray, n_queries: int) -> Node:
-    """The tree over points, of which the first n_queries are queries.
+    """The cover tree over points, of which the first n_queries are queries.
 
-    Children cover greedily: the member farthest from all centres so far
-    becomes the next centre, until the radius divided by BASE covers all. A
-    node whose cover would need nearly a centre a member (vectors without
-    structure) stays a leaf, which the search handles as one matrix product.
+    A node's cover is greedy: the member farthest from all centres so far
+    becomes the next one, until none is farther than the children's distance.
     """
     everything = np.arange(len(points))
-    first = points.mean(axis=0)
-    root = Node(points, everything, n_queries, first, float(distances(points, first).max()))
-    open_nodes = [(root, everything)]
+    away = distances(points, points[0])
+    root = Node(points, everything, n_queries, 0, float(away.max()))
+    open_nodes = [(root, everything, away)]
     while open_nodes:
-        node, members = open_nodes.pop()
-        if len(members) <= LEAF or node.radius == 0.0:
+        node, members, nearest = open_nodes.pop()
+        if node.radius == 0.0:
             continue
+        node.level = floor(log(node.radius, BASE))
+        while BASE**node.level >= node.radius:
+            node.level -= 1
         own = points[members]
-        nearest = np.full(len(members), np.inf)
+        places = [node.place]
         belongs = np.zeros(len(members), np.int64)
-        most = max(2, len(members) // 8)
-        at, count = 0, 0
-        while count < most:
+        while nearest[at := int(nearest.argmax())] > BASE**node.level:
             d = distances(own, own[at])
             closer = d < nearest
-            nearest[closer], belongs[closer] = d[closer], count
-            count += 1
-            at = int(nearest.argmax())
-            if nearest[at] <= node.radius / BASE:
-                break
-        if nearest.max() > 0.98 * node.radius and count >= most:
-            continue
-        for k in range(count):
-            inside = belongs == k
-            if not inside.any():
-                continue
-            centre = own[inside].mean(axis=0)
-            child = Node(points, members[inside], n_queries, centre, float(distances(own[inside], centre).max()))
+            nearest[closer], belongs[closer] = d[closer], len(places)
+            places.append(int(members[at]))
+        order = np.argsort(belongs, kind="stable")
+        for place, inside in zip(places, np.split(order, np.searchsorted(belongs[order], np.arange(1, len(places)))), strict=True):
+            child = Node(points, members[inside], n_queries, place, float(nearest[inside].max()))
             node.children.append(child)
-            open_nodes.append((child, members[inside]))
+            open_nodes.append((child, members[inside], nearest[inside]))
     return root
 
 
-def search(points: np.ndarray, ids: np.ndarray, n_queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the k best data points of each query, -1 where there are fewer; both of shape (n_queries, k)."""
+def search(points: np.ndarray, ids: np.ndarray, n_queries: int, k: int, known: np.ndarray | None = None, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the k best data points of each query, -1 where there are fewer; both of shape (n_queries, k).
+
+    known are scores that a query's k-th best is known to reach; lower ones may
+    be left out. seen gets the numbers of pairs of nodes that were met and pruned.
+    """
     low = np.iinfo(np.int64).min
     scores = np.full((n_queries, k), low, np.int64)
     found = np.full((n_queries, k), -1, np.int64)
     top = float(np.abs(points).max(initial=0.0))
-    exact = points if top * top * max(points.shape[1], 1) < EXACT_FLOAT else points.astype(np.int64)
+    most = top * top * max(points.shape[1], 1)
+    exact = points if most < EXACT_FLOAT else points.astype(np.int64)
     root = build(points, n_queries)
-    slack = 1e-9 * (1.0 + top * top * max(points.shape[1], 1))
+    slack = 1e-9 * (1.0 + most)
+    floor_of = np.full(n_queries, low, np.int64) if known is None else known.astype(np.int64)
+    seen = {} if seen is None else seen
+    seen |= {"met": 0, "pruned": 0}
 
-    def compare(q: np.ndarray, d: np.ndarray) -> None:
-        product = (exact[q] @ exact[d].T).astype(np.int64)
+    def update(q: np.ndarray, d: np.ndarray, product: np.ndarray) -> None:
+        """Takes the scores of queries q and data d; low means none."""
         product[ids[q][:, None] == ids[d][None, :]] = low
-        floor = scores[q, k - 1]
+        least = np.maximum(scores[q, k - 1], floor_of[q])
         if len(d) > k:
-            floor = np.maximum(floor, np.partition(product, len(d) - k, axis=1)[:, len(d) - k])
-        rows, cols = np.nonzero((product >= floor[:, None]) & (product > low))
+            least = np.maximum(least, np.partition(product, len(d) - k, axis=1)[:, len(d) - k])
+        rows, cols = np.nonzero((product >= least[:, None]) & (product > low))
         if not len(rows):
             return
         touched = np.unique(rows)
-        old_rows = np.repeat(touched, k)
-        all_rows = np.r_[rows, old_rows]
+        all_rows = np.r_[rows, np.repeat(touched, k)]
         all_scores = np.r_[product[rows, cols], scores[q[touched]].ravel()]
         all_ids = np.r_[ids[d[cols]], found[q[touched]].ravel()]
-        order = np.lexsort((all_ids, -all_scores.astype(np.float64) if exact is points else ~all_scores, all_rows))
+        order = np.lexsort((all_ids, ~all_scores, all_rows))
         all_rows, all_scores, all_ids = all_rows[order], all_scores[order], all_ids[order]
         starts = np.searchsorted(all_rows, touched)
         for j in range(k):
             scores[q[touched], j] = all_scores[starts + j]
             found[q[touched], j] = all_ids[starts + j]
 
-    stack = [(root, root)]
+    def worst(nodes: list[Node]) -> np.ndarray:
+        reached = np.maximum(scores[:, k - 1], floor_of)
+        queries = np.concatenate([x.queries for x in nodes])
+        return np.minimum.reduceat(reached[queries], np.r_[0, np.cumsum([len(x.queries) for x in nodes])[:-1]])
+
+    stack = [(np.inf, root, root)]
     while stack:
-        q, d = stack.pop()
-        if not len(q.queries) or not len(d.data):
-            continue
-        bound = float(q.centre @ d.centre) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius + slack
-        if bound < scores[q.queries, k - 1].min():
+        bound, q, d = stack.pop()
+        if not len(q.queries) or not len(d.data) or bound < worst([q])[0]:
             continue
-        if q.children and (q.radius >= d.radius or not d.children):
-            stack.extend((x, d) for x in q.children)
-        elif d.children:
-            near = sorted(d.children, key=lambda x: float(q.centre @ x.centre))
-            stack.extend((q, x) for x in near)  # the best is taken next
-        else:
-            compare(q.queries, d.data)
+        qs = [x for x in q.children if len(x.queries)] or [q]
+        ds = [x for x in d.children if len(x.data)] or [d]
+        q_places, d_places = [x.place for x in qs], [x.place for x in ds]
+        q_radius, d_radius = np.array([x.radius for x in qs]), np.array([x.radius for x in ds])
+        product = points[q_places] @ points[d_places].T
+        q_norm, d_norm = np.linalg.norm(points[q_places], axis=1), np.linalg.norm(points[d_places], axis=1)
+        bounds = product + np.outer(q_norm, d_radius) + np.outer(q_radius, d_norm) + np.outer(q_radius, d_radius) + slack
+        near = bounds >= worst(qs)[:, None]
+        seen["met"] += near.size
+        seen["pruned"] += near.size - int(near.sum())
+        # nodes of radius 0 are equal points: their scores are those of the centres
+        q_leaf, d_leaf = np.flatnonzero(q_radius == 0.0), np.flatnonzero(d_radius == 0.0)
+        if len(q_leaf) and len(d_leaf):
+            q_of, d_of = np.repeat(q_leaf, [len(qs[i].queries) for i in q_leaf]), np.repeat(d_leaf, [len(ds[j].data) for j in d_leaf])
+            q_all, d_all = np.concatenate([qs[i].queries for i in q_leaf]), np.concatenate([ds[j].data for j in d_leaf])
+            made = product[np.ix_(q_of, d_of)].astype(np.int64) if exact is points else exact[q_all] @ exact[d_all].T
+            made[~near[np.ix_(q_of, d_of)]] = low
+            update(q_all, d_all, made)
+        near[np.ix_(q_leaf, d_leaf)] = False
+        rows, cols = np.nonzero(near)
+        order = np.argsort(bounds[rows, cols], kind="stable")  # the best is taken next
+        stack.extend((bounds[i, j], qs[i], ds[j]) for i, j in zip(rows[order].tolist(), cols[order].tolist(), strict=True))
     return scores, found
 
 
+def _points(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = table.column("v")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, len(column[0])).astype(np.float64)
+
+
 def _block(k: int):
+    """One block's data and some queries (is_query, with the score that their k-th best is known to reach) to their best."""
+
     def run(table: pa.Table) -> pa.Table:
         is_query = np.asarray(table.column("is_query").to_numpy(zero_copy_only=False), bool)
         order = np.argsort(~is_query, kind="stable")
-        ids = table.column("vec_id").to_numpy()[order]
-        width = len(table.column("v")[0])
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        points = flat.reshape(len(ids), width)[order].astype(np.float64)
+        ids, rows = table.column("vec_id").to_numpy()[order], table.column("row").to_numpy()[order]
+        known = table.column("known").to_numpy()[order]
         n = int(is_query.sum())
-        scores, found = search(points, ids, n, k)
-        some = found >= 0 if ids.min(initial=0) >= 0 else scores > np.iinfo(np.int64).min
-        return pa.table({"query_id": np.repeat(ids[:n], k)[some.ravel()], "vec_id": found[some], "score": scores[some]})
+        if not n or n == len(ids):
+            return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        scores, found = search(_points(table)[order], ids, n, k, known[:n])
+        some = scores > np.iinfo(np.int64).min
+        return pa.table({"query_row": np.repeat(rows[:n], k)[some.ravel()], "query_id": np.repeat(ids[:n], k)[some.ravel()], "vec_id": found[some], "score": scores[some]})
+
+    return run
+
+
+def _centred(centres: np.ndarray):
+    """Rows with v to cell (the nearest centre) and away (the distance to it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (centres**2).sum(axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = _points(batch)
+            cell = (own - 2 * points @ centres.T).argmin(axis=1) if points.shape[1] else np.zeros(len(points), np.int64)
+            away = distances(points, centres[cell])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    return run
+
+
+def _reaching(centres: np.ndarray, radii: np.ndarray):
+    """Queries (row, vec_id, v, known) to a row for each other cell that may hold better scores than known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = np.linalg.norm(centres, axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = _points(batch)
+            length = np.linalg.norm(points, axis=1)
+            bounds = points @ centres.T + np.outer(length, radii)
+            slack = 1e-9 * (1.0 + np.outer(length, norms + np.maximum(radii, 0.0)))
+            rows, cells = np.nonzero(bounds + slack >= batch.column("known").to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in batch.schema.names), pa.array(cells, pa.int32())], names=[*batch.schema.names, "cell"])
 
     return run
 
@@ -163,6 +242,49 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+LOWEST = -(2**63)
+_FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _searched(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best of queries (row, vec_id, v, known, cell, block) in the blocks named, as (query_row, query_id, vec_id, score).
+
+    Queries of a block are dealt into parts, for each of which the block's rows go to one task.
+    """
+    parts = queries.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
+    parts = lookup(written(parts, "parts"))
+    asked = queries.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    held = data.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["cell", "block", "part", "row", "vec_id", "v"]
+    both = held.select(*columns, F.lit(False).alias("is_query"), F.lit(LOWEST).cast("long").alias("known")).union(asked.select(*columns, F.lit(True), "known"))
+    return written(both.groupBy("cell", "block", "part").applyInArrow(_block(k), _FOUND), "found")
+
+
+def _of_width(rows: DataFrame, k: int) -> DataFrame:
+    """(query_row, query_id, vec_id, score) for rows (row, vec_id, v, is_query) of one length."""
+    n = rows.count()
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(max(1, min(MAX_CELLS, n // CELL_ROWS))).collect()
+    centres = np.array([r["v"] for r in sample], np.float64)
+    schema = "row long, vec_id long, v array<long>, is_query boolean, cell int, away double"
+    celled = written(rows.select("row", "vec_id", "v", "is_query").mapInArrow(_centred(centres), schema), "cells")
+    sizes = celled.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = written(sizes, "cell_sizes")  # at most MAX_CELLS rows
+    radii = np.full(len(centres), -1e300)  # of cells without rows, which the join with sizes drops
+    for r in sizes.collect():
+        radii[r["cell"]] = r["radius"]
+    data = written(celled.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")), "data")
+    queries = data.where("is_query").groupBy("vec_id", "v").agg(F.min(F.struct("row", "cell", "block")).alias("first")).select("first.*", "vec_id", "v")
+    queries = written(queries.withColumn("known", F.lit(LOWEST).cast("long")), "queries")
+    first = _searched(data, queries, k)
+    known = first.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
+    seeded = queries.withColumnsRenamed({"cell": "home", "block": "home_block"}).drop("known").join(known.withColumnRenamed("query_row", "row"), "row", "left")
+    seeded = seeded.select("row", "vec_id", "v", "home", "home_block", F.coalesce("least", F.lit(LOWEST).cast("long")).alias("known"))
+    wide = seeded.mapInArrow(_reaching(centres, radii), "row long, vec_id long, v array<long>, home int, home_block int, known long, cell int")
+    spread = wide.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    second = spread.where((F.col("cell") != F.col("home")) | (F.col("block") != F.col("home_block"))).select("row", "vec_id", "v", "known", "cell", "block")
+    return first.union(_searched(data, written(second, "reaching"), k))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products among all other rows.
 
@@ -172,14 +294,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     # when() keeps non-finite components away from floor(), which would not fit a long
     whole = F.when(usable(F.col(vector)), F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double"))))
     kept = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("is_query")).where("vec_id is not null and v is not null")
-    rows = written(kept.groupBy("vec_id").agg(F.min(F.struct("v", "is_query")).alias("s")).select("vec_id", "s.v", "s.is_query").withColumn("width", F.size("v")), "vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    query_blocks = max(1, -(-rows.where("is_query").count() // QUERY_ROWS))
-    data = rows.select("width", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), F.lit(False).alias("is_query"), "vec_id", "v")
-    queries = rows.where("is_query").select(
-        "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("part"), F.lit(True).alias("is_query"), "vec_id", "v"
-    )
-    best = data.unionByName(queries).groupBy("width", "block", "part").applyInArrow(_block(k), "query_id long, vec_id long, score long")
+    rows = written(kept.withColumn("width", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    widths = [r["width"] for r in rows.where("is_query").select("width").distinct().orderBy("width").collect()]
+    found = [_of_width(rows.where(F.col("width") == w), k) for w in widths]
+    if not found:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return written(best, "best").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
