@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 from veilframe.sources import store
 from veilframe.sources.store import remove, scratch, settled, shared_dir, ship, table
@@ -20,8 +21,8 @@ __all__ = ["remove", "scratch", "settled", "shared_dir", "ship", "table", "writt
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-#: A lookup table is broadcast only if a count of its rows has shown that it stays under this.
-BROADCAST_ROWS = 100_000
+#: A lookup table is broadcast only if a count of its rows and their bytes has shown that it stays under these.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 #: Rows of a batch that a job of these operators sends to Python: whole texts at Spark's 10,000 would fill a worker.
@@ -46,13 +47,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
         return store.written(df, label)
 
 
+def _bytes(name: str, kind: DataType) -> Column:
+    """Bytes of a column's value, about."""
+    at = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(at), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return 8 * F.greatest(F.size(at), F.lit(0)) + 24
+    return F.lit(16)
+
+
 def lookup(small: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few; else joins shuffle it.
+    """A written table, marked for broadcast if its counted rows and bytes are few; else joins shuffle it.
 
     A written table's side of a sort-merge join is a plain exchange, so that
-    adaptive execution can split hot keys of the other side.
+    adaptive execution can split hot keys of the other side. Arrays hold numbers.
     """
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    each = reduce(add, [_bytes(f.name, f.dataType) for f in small.schema.fields])
+    rows, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else small
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -10,13 +10,16 @@ Such lines are removed, and a document is depleted when they held more than
 
 Defined results: a null text counts as empty; null hosts form one host; rows
 with equal host and text get equal verdicts, also if their doc_id repeats or
-is null; an empty table gives an empty result; columns besides the three
-named ones pass through ``clean`` untouched.
+is null; an empty table gives an empty result. ``clean`` returns docs' own
+columns, whatever their names, and touches only the text and n_chars.
+``text_rules`` and ``judge`` add columns and refuse docs that have columns of
+these names.
 
 Everything is DataFrame expressions. Lines reach a shuffle only as partial
-counts by (host, hash); the lines over a limit are few (at most all lines
-divided by ``min_documents``) and are written and joined back, broadcast when
-their count is small and else by a join that can split hot keys.
+counts by (host, hash). They are hashed once, into a written table. The lines
+over a limit are few (at most all lines divided by ``min_documents``) and are
+joined back, broadcast when their rows and bytes are few and else by a join
+that can split hot keys.
 """
 
 from __future__ import annotations
@@ -72,8 +75,19 @@ def duplicate_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICT = ("n_removed_words", "over_lines", "kept")
+
+
+def _refuse(docs: DataFrame, names: tuple[str, ...]) -> None:
+    clashing = {c.lower() for c in docs.columns} & {*names, "__w", "__t"}
+    if clashing:
+        raise ValueError(f"columns of the result have these names: {', '.join(sorted(clashing))}")
+
+
 def text_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """docs with the columns of RULES."""
+    _refuse(docs, RULES)
     t = text_or_empty(text)
     chars = F.char_length(t)
     counts = docs.withColumn(
@@ -118,7 +132,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", mi
     A first count of occurrences, with partial sums, can only be too high. It
     leaves few candidate lines, whose distinct documents are then counted.
     """
-    lines = _lines(docs, text, host)
+    lines = written(_lines(docs, text, host), "lines")
     hosts = lookup(
         written(
             docs.select(F.col(host).alias("host"), F.xxhash64(text_or_empty(text)).alias("t")).groupBy("host").agg(F.count_distinct("t").alias("n_documents")),
@@ -143,6 +157,7 @@ def _removals(docs: DataFrame, text: str, host: str, **limits) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_removed: float = MAX_REMOVED, **limits) -> DataFrame:
     """docs with the counts of ``text_rules``, n_removed_words, over_lines (hashes, null: none) and kept."""
+    _refuse(docs, RULES + VERDICT)
     removals = _removals(docs, text, host, **limits).withColumnsRenamed({"host": host, "text_hash": "__t"})
     ruled = text_rules(docs, text).withColumn("__t", F.xxhash64(text_or_empty(text)))
     joined = join_null_safe(ruled, removals, [host, "__t"], "left").drop("__t")
@@ -153,12 +168,17 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_removed
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The kept documents, without their lines over the limit, with docs' columns (n_chars follows the text if there)."""
-    judged = judge(docs, text, host, **limits).where("kept")
+    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    packed = docs.select(rest.alias("__doc"), F.col(text).alias("__text"), F.col(host).alias("__host"))
+    judged = judge(packed, "__text", "__host", **limits).where("kept")
     kept_lines = let(
-        F.struct(F.split(F.col(text), "\n").alias("raw"), normalised_lines(F.col(text)).alias("norm")),
+        F.struct(F.split(F.col("__text"), "\n").alias("raw"), normalised_lines(F.col("__text")).alias("norm")),
         lambda x: F.array_join(F.filter(x["raw"], lambda line, i: ~F.array_contains(F.col("over_lines"), F.xxhash64(F.get(x["norm"], i)))), "\n"),
     )
-    changed = judged.withColumn(text, F.when(F.col("over_lines").isNull(), F.col(text)).otherwise(kept_lines))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("over_lines").isNull(), F.col("n_chars")).otherwise(F.char_length(F.col(text)).cast("long")))
-    return changed.select(*docs.columns)
+    whole = F.col("over_lines").isNull()
+    out = judged.select("__doc", "over_lines", F.when(whole, F.col("__text")).otherwise(kept_lines).alias("__text"))
+    n_chars = F.char_length("__text").cast("long")
+    own = {c: F.col("__doc").getField(c) for c in docs.columns if c != text} | {text: F.col("__text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(whole, own["n_chars"]).otherwise(n_chars)
+    return out.select(*[own[c].alias(c) for c in docs.columns])
