@@ -20,7 +20,8 @@ to the driver and back. Labels, language, source and ids are never inputs.
 Defined results: null and empty texts have the features of no tokens and get
 a score like any other; a null doc_id is not held out and not learnt from;
 rows of labels with a null label don't count and of repeated ones each
-counts; without labels of both kinds all scores are the share of label 1, or
+counts; documents that share an id are each learnt from with its label, all of
+them together at most train_rows (those with the smallest hash of their features); without labels of both kinds all scores are the share of label 1, or
 0.5; an empty table gives an empty result.
 """
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import sliced, written
+from veilframe.llm.common import Recent, sliced, written
 
 BUCKETS, MARKERS, WIDTH, NONZERO = 1 << 14, 256, 32, 4
 WINDOW = 2
@@ -44,7 +45,8 @@ SLICE = 256
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 30, 256, 0.01
 THRESHOLD = 0.7
-TOKENS_KEPT = 300_000
+#: Bytes of tokens that a worker keeps, about.
+KEPT_BYTES = 64 << 20
 
 _SIZE = BUCKETS + MARKERS
 
@@ -55,29 +57,24 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return made.integers(0, WIDTH, (_SIZE, NONZERO)), made.choice(np.array([-1.0, 1.0]), (_SIZE, NONZERO))
 
 
-class Tokens(dict):
+def token_code(token: bytes) -> int:
     """A token's 40 random bits, bucket and marker, packed into 62 bits."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= TOKENS_KEPT:
-            self.clear()
-        text = token.decode("utf-8", "surrogatepass")
-        letters = "".join(filter(str.isalpha, text))
-        signs = len(text) - len(letters)
-        marker = 128 if not letters else 64 * (len(letters) > 1 and letters.isupper()) + 32 * letters[0].isupper()
-        marker += 16 * any(map(str.isdigit, text)) + min(signs, 3) * 4 + 2 * (signs > 0 and not text[-1].isalpha()) + (text[-1] in ".,;:?!")
-        bucket = xxhash.xxh3_64_intdigest(letters.lower().encode("utf-8", "surrogatepass")) % BUCKETS
-        found = self[token] = (xxhash.xxh3_64_intdigest(token) >> 26) << 24 | bucket << 8 | marker
-        return found
+    text = token.decode("utf-8", "surrogatepass")
+    letters = "".join(filter(str.isalpha, text))
+    signs = len(text) - len(letters)
+    marker = 128 if not letters else 64 * (len(letters) > 1 and letters.isupper()) + 32 * letters[0].isupper()
+    marker += 16 * any(map(str.isdigit, text)) + min(signs, 3) * 4 + 2 * (signs > 0 and not text[-1].isalpha()) + (text[-1] in ".,;:?!")
+    bucket = xxhash.xxh3_64_intdigest(letters.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+    return (xxhash.xxh3_64_intdigest(token) >> 26) << 24 | bucket << 8 | marker
 
 
 @cache
-def known_tokens() -> Tokens:
+def known_tokens() -> Recent:
     """The tokens of a worker process, whatever its tasks (tasks find them by this function's name)."""
-    return Tokens()
+    return Recent(token_code, KEPT_BYTES, 160)
 
 
-def tokens_of(texts: list[str | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of(texts: list[str | None], known: Recent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, marker, document) of every token of a batch; a repeated token has marker 192 and more."""
     split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     counts = np.array([len(s) for s in split], np.int64)
@@ -135,7 +132,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray, known: Tokens) -> np.ndarray:
+def pooled(texts: list[str | None], vectors: np.ndarray, known: Recent) -> np.ndarray:
     """A row of features for each text."""
     bucket, marker, doc = tokens_of(texts, known)
     out = np.zeros((len(texts), 2 * WIDTH + 1), np.float64)
@@ -240,7 +237,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows), "labels")  # at most train_rows
     sample = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_features(vectors), "label double, x array<double>")
-    rows = sample.collect()
+    sample = written(sample, "sample")
+    if sample.count() > train_rows:  # ids that repeat in docs
+        sample = sample.orderBy(F.xxhash64("x"), "x", "label").limit(train_rows)
+    rows = sample.collect()  # at most train_rows
     order = sorted(rows, key=lambda r: (r["label"], r["x"]))  # the same order in every run
     x = np.array([r["x"] for r in order]).reshape(len(order), 2 * WIDTH + 1)
     model = spark.sparkContext.broadcast(Network(x.shape[1]).fit(x, np.array([r["label"] for r in order])))
