@@ -6,13 +6,21 @@ with chunked transfer framing. Blocks over SEGMENT_BYTES are split: the
 response holds the first segment, continuation records hold the others, with
 the origin's id, their number and, on the last, the total length.
 
-Reading: records are parsed file by file. Whole ones are decoded at once.
+Reading: records are parsed file by file; of other types than response,
+revisit and continuation they are skipped. Whole responses are decoded at once.
 Segments are grouped by the origin's id, ordered by number, checked to be
-complete and as long as the total says, joined and decoded.
+complete and as long as the total says, joined and decoded. A SHA-1 payload
+digest is verified where a record has one. Revisits are resolved by a join of
+WARC-Refers-To with the responses' record ids, and their digest is compared
+with the response's; one whose response is not in the files keeps what its own
+headers say and refers to nothing. Page-ID is a header of our own; records of
+other archives have no page_id.
 
 Every record is a gzip member of its own. Files are written by Spark's text
 sink, one value a file, through the commit protocol and Hadoop's file system;
-the line separator is an empty gzip member. The binaryFile source reads them.
+the line separator is an empty gzip member (its bytes, and the value's, pass
+through the sink unchanged, as it writes strings' bytes unchecked; the files'
+names end in .txt). The binaryFile source reads them, and archives of others.
 
 Defined results: a null html is an empty payload; a null url an empty target;
 rows without a page_id are response records unless a row with an id has the
@@ -90,7 +98,7 @@ def page_records(page_id: int | None, url: str | None, html: str | None, refers_
     about += [("Page-ID", str(page_id))] * (page_id is not None)
     message = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if revisit:
-        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("Refers-To-Page-ID", str(refers_to))]
+        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
         yield record("revisit", about, f"{message}Content-Length: {len(payload)}\r\n\r\n".encode())
         return
     block = f"{message}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
@@ -116,7 +124,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = 0
         while at < len(raw):
             end = raw.index(b"\r\n\r\n", at)
-            first, *lines = raw[at:end].decode().split("\r\n")
+            first, *lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
             if not first.startswith("WARC/1."):
                 raise ValueError("no WARC record")
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -133,41 +141,52 @@ def http_payload(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = pa.schema(
+    [("record_id", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string())]
+)
+_SEGMENT = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_OUT = "record_id string, target_uri string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string"
 
 
-def _decoded(headers: dict[str, str], block: bytes) -> tuple:
-    """A row of the result for a whole record."""
-    said = headers["warc-payload-digest"].removeprefix("sha1:")
+def _decoded(headers: dict[str, str], block: bytes) -> tuple | None:
+    """A row of _RECORD for a whole record; None for other types than response and revisit."""
+    kind = headers.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    name, value = headers.get("warc-payload-digest", "").partition(":")[::2]
+    said = value if name.lower() == "sha1" else None
     page_id = int(headers["page-id"]) if "page-id" in headers else None
-    if headers["warc-type"] == "revisit":
-        length = next(int(x.partition(b":")[2]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        return page_id, length, said, "revisit", int(headers["refers-to-page-id"])
-    payload = http_payload(block)
+    about = headers.get("warc-record-id"), headers.get("warc-target-uri"), page_id
+    if kind == "revisit":
+        length = next((int(x.partition(b":")[2]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        return *about, length, said, kind, headers.get("warc-refers-to")
+    payload = http_payload(block) if headers.get("content-type", "").startswith("application/http") else block
     found = payload_digest(payload)
-    if found != said:
-        raise ValueError(f"payload of page {page_id} does not have its digest")
-    return page_id, len(payload), found, "response", None
+    if said is not None and found != said:
+        raise ValueError(f"payload of {about[0]} does not have its digest")
+    return *about, len(payload), found, kind, None
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files to rows: results of whole records, and segments with their headers."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+    """Files to rows: whole records, and segments with their headers."""
+    schema = pa.schema([*_RECORD, *_SEGMENT])
     for batch in batches:
         for content in batch.column("content"):
             rows = []
             for headers, block in parse_records(content.as_py()):
                 if "warc-segment-number" not in headers:
-                    rows.append((*_decoded(headers, block), None, None, None, None, None))
+                    found = _decoded(headers, block)
+                    if found is not None:
+                        rows.append((*found, *[None] * len(_SEGMENT)))
                     continue
                 total = headers.get("warc-segment-total-length")
-                origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
-                rows.append((None, None, None, None, None, origin, int(headers["warc-segment-number"]), int(total) if total else None, list(headers.items()), block))
+                origin = headers.get("warc-segment-origin-id", headers.get("warc-record-id"))
+                rows.append((*[None] * len(_RECORD), origin, int(headers["warc-segment-number"]), int(total) if total else None, list(headers.items()), block))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def _reassembled(table: pa.Table) -> pa.Table:
-    """The segments of one origin to a row of the result."""
+    """The segments of one origin to a row of _RECORD."""
     rows = sorted(table.to_pylist(), key=lambda r: r["number"])
     # a repeated row of the input wrote the same segments again
     copies = len(rows) // len({r["number"] for r in rows})
@@ -177,9 +196,7 @@ def _reassembled(table: pa.Table) -> pa.Table:
     if [r["number"] for r in rows] != list(range(1, len(rows) + 1)) or total != len(block):
         raise ValueError(f"segments of {rows[0]['origin']} are not complete")
     found = _decoded(dict(rows[0]["headers"]), block)
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.table({n: pa.array([v] * copies, k) for n, v, k in zip(names, found, kinds, strict=True)})
+    return pa.Table.from_pylist([dict(zip(_RECORD.names, found, strict=True))] * copies if found else [], _RECORD)
 
 
 def _archives(segment_bytes: int):
@@ -218,15 +235,31 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     packed.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every response and revisit in the files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+def read_records(spark, path: str, glob: str = "*") -> DataFrame:
+    """Every response and revisit in the files: record_id, target_uri, page_id, payload_bytes, payload_digest, record_type, refers_to_id."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     parsed = written(files.mapInArrow(_parsed, f"{_OUT}, origin string, number long, total long, headers map<string,string>, block binary"), "parsed")
-    whole = parsed.where("origin is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    joined = parsed.where("origin is not null").select("origin", "number", "total", "headers", "block").groupBy("origin").applyInArrow(_reassembled, _OUT)
+    whole = parsed.where("origin is null").select(*_RECORD.names)
+    joined = parsed.where("origin is not null").select(*_SEGMENT.names).groupBy("origin").applyInArrow(_reassembled, _OUT)
     return whole.union(joined)
 
 
+def read_archives(spark, path: str, glob: str = "*") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every response and revisit in the files, revisits resolved."""
+    records = written(read_records(spark, path, glob), "records")
+    revisits = records.where("record_type = 'revisit'")
+    wanted = lookup(written(revisits.select(F.col("refers_to_id").alias("record_id")).where("record_id is not null").distinct(), "referred"))
+    responses = records.where("record_type = 'response'").join(wanted, "record_id", "left_semi")
+    origins = responses.groupBy("record_id").agg(F.min(F.struct(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))).alias("origin"))
+    origins = lookup(written(origins.withColumnRenamed("record_id", "refers_to_id"), "origins"))
+    found = revisits.join(origins, "refers_to_id", "left")
+    differs = F.concat(F.lit("the digest of a revisit is not that of its response: "), F.coalesce("record_id", F.lit("")))
+    digest = F.when(F.col("payload_digest") != F.col("origin.digest"), F.raise_error(differs).cast("string")).otherwise(F.coalesce("payload_digest", "origin.digest"))
+    resolved = found.select("page_id", F.coalesce("origin.bytes", "payload_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("origin.refers_to").alias("refers_to"))
+    whole = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return whole.union(resolved)
+
+
 def archive_and_read(pages: DataFrame, **settings) -> DataFrame:
     """Writes pages to a new shared folder and returns what reading the archives gives."""
     path = scratch(pages.sparkSession, "warc")
