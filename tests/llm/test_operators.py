@@ -632,3 +632,118 @@ def test_a_long_chunk_is_not_kept(spark):
     assert known.texts(texts) == plain and max(map(len, known)) <= token_files.LONGEST
     known.held = token_files.KEPT_BYTES
     assert known.texts(texts[::-1]) == plain[::-1] and known.older
+
+
+def test_clean_keeps_own_columns(spark):
+    texts = [own(i) + "\nsame line here" for i in range(12)]
+    own_names = {c: F.lit(999) for c in ("N_words", "word_chars", "n_removed_words", "over_lines", "kept", "__text", "__host", "host", "line", "w")}
+    docs = documents(spark, texts).withColumns(own_names)
+    got = quality_rules.clean(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert r.text == own(r.doc_id - 1) and all(r[c] == 999 for c in own_names)
+    assert {r.n_words for r in quality_rules.judge(docs).collect()} == {39}
+
+
+def test_stage_of_pseudonyms_keeps_own_columns(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark, ["mail me@x.com", None]).withColumn("n_ip", F.lit("own"))
+    got = corpus_pipeline.private(spark, docs, small)
+    assert got.columns == docs.columns and [r.n_ip for r in got.collect()] == ["own", "own"]
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    digest = warc.payload_digest(b"hello")
+    http = [("Content-Type", "application/http; msgtype=response")]
+    made = [
+        warc.record("warcinfo", [("WARC-Record-ID", "<urn:i>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n"),
+        warc.record("request", [("WARC-Record-ID", "<urn:q>"), *http], b"GET / HTTP/1.1\r\n\r\n"),
+        warc.record("revisit", [("WARC-Record-ID", "<urn:v>"), ("WARC-Refers-To", "<urn:r>"), ("WARC-Payload-Digest", f"sha1:{digest}"), *http], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        warc.record("response", [("WARC-Record-ID", "<urn:r>"), ("WARC-Target-URI", "http://h/"), *http], b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"),
+        warc.record("revisit", [("WARC-Record-ID", "<urn:w>"), ("WARC-Refers-To", "<urn:none>"), ("WARC-Payload-Digest", f"sha1:{digest}"), *http], b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n"),
+        warc.record("metadata", [("WARC-Record-ID", "<urn:m>")], b"fetchTimeMs: 3\r\n"),
+        warc.record("response", [("WARC-Record-ID", "<urn:d>"), ("WARC-Payload-Digest", "sha256:00"), ("Content-Type", "text/dns")], b"plain"),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in made))
+    got = {tuple(r) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    plain = warc.payload_digest(b"plain")
+    assert got == {(None, 5, digest, "response", None), (None, 5, digest, "revisit", None), (None, 7, digest, "revisit", None), (None, 5, plain, "response", None)}
+    assert {r.record_id: r.refers_to_id for r in warc.read_records(spark, str(tmp_path / "a")).collect()} == {"<urn:r>": None, "<urn:v>": "<urn:r>", "<urn:w>": "<urn:none>", "<urn:d>": None}
+    (tmp_path / "b").mkdir()
+    wrong = warc.record("revisit", [("WARC-Record-ID", "<urn:v>"), ("WARC-Refers-To", "<urn:r>"), ("WARC-Payload-Digest", f"sha1:{plain}"), *http], b"HTTP/1.1 200 OK\r\n\r\n")
+    (tmp_path / "b/two.warc.gz").write_bytes(gzip.compress(made[3]) + gzip.compress(wrong))
+    with pytest.raises(Exception, match="digest of a revisit"):
+        warc.read_archives(spark, str(tmp_path / "b")).collect()
+
+
+def test_addresses_and_own_columns_of_captures(spark):
+    urls = ["http://10.20.30.40/x", "http://[2001:DB8::1]:80/", "http://30.40/", "http://u@[::1]/"]
+    captures = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, fetched_at long").withColumns({"host": F.lit("own"), "Pattern": F.lit(1), "salt": F.lit(2), "t": F.lit(3)})
+    entries = spark.createDataFrame([("30.40", "add", 1), ("40", "add", 1), ("[2001:db8::1]", "add", 1), ("[", "add", 1)], "pattern string, action string, at long")
+    got = {r.page_id: (r.host, r.pattern, r.salt, r.t) for r in url_lists.listed(captures, entries).collect()}
+    assert got == {0: ("10.20.30.40", None, 2, 3), 1: ("[2001:db8::1]", "[2001:db8::1]", 2, 3), 2: ("30.40", "30.40", 2, 3), 3: ("[::1]", None, 2, 3)}
+
+
+def test_hot_patterns_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(url_lists, "SALT_ROWS", 7)
+    made = random.Random(14)
+    captures = [(i, f"http://h{made.randrange(5)}.a.com/", made.randrange(60)) for i in range(300)]
+    entries = [(made.choice(["com", "a.com", "h1.a.com"]), made.choice(["add", "remove"]), made.randrange(60)) for _ in range(60)]
+    got = {r.page_id: (r.pattern, r.listed_since) for r in url_lists.listed(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "pattern string, action string, at long")).collect()}
+    for i, url, t in captures:
+        host, best = url[7:-1], (None, None)
+        for p in ("com", "a.com", host):
+            past = [e[2] for e in entries if e[0] == p and e[2] <= t]
+            if past and any(e[0] == p and e[2] == max(past) and e[1] == "add" for e in entries):
+                best = (p, max(past))
+        assert got[i] == best
+
+
+def test_learning_is_bounded_and_repeats(spark):
+    texts = ["plain words of a text " * 5, "BUY!!! now $$$ " * 9] * 20
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(4)], "doc_id long, quality int")
+    one = sorted((r.doc_id, r.score) for r in classifier.score_quality(docs, labels, train_rows=8).collect())
+    assert one == sorted((r.doc_id, r.score) for r in classifier.score_quality(docs.repartition(3), labels, train_rows=8).collect())
+
+
+def test_plain_version_of_the_classifier(spark):
+    texts = ["One two TWO two, 3", "two three. Three one", None, "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vectors = classifier.word_vectors(docs)
+    places, signs = classifier.index_vectors()
+    want = np.zeros((classifier.BUCKETS + classifier.MARKERS, classifier.WIDTH))
+    rows = []
+    for t in texts:
+        tokens = (t or "").split()
+        codes = [classifier.token_code(x.encode()) for x in tokens]
+        buckets = [c >> 8 & 0xFFFF for c in codes]
+        marks = [(192 + (c & 31) if i and tokens[i] == tokens[i - 1] else c & 0xFF) + classifier.BUCKETS for i, c in enumerate(codes)]
+        rows.append((buckets, marks))
+        pairs = [(m, b) for b, m in zip(buckets, marks, strict=True)]
+        for i in range(len(tokens)):
+            for j in range(max(0, i - classifier.WINDOW), min(len(tokens), i + classifier.WINDOW + 1)):
+                if i != j:
+                    pairs += [(buckets[i], buckets[j]), (marks[i], marks[j])]
+        for a, b in pairs:
+            for place, sign in zip(places[b], signs[b], strict=True):
+                want[a, place] += sign
+    norms = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.divide(want, norms, out=np.zeros_like(want), where=norms > 0)
+    assert np.allclose(vectors, want, atol=1e-6)
+    x = classifier.pooled(texts, vectors, classifier.known_tokens())
+    for row, (buckets, marks) in zip(x, rows, strict=True):
+        mean = lambda at: vectors[at].mean(axis=0) if at else np.zeros(classifier.WIDTH)
+        assert np.allclose(row, np.r_[mean(buckets), mean(marks), np.log1p(len(buckets))], atol=1e-6)
+    made = np.random.default_rng(15)
+    a, y = made.normal(0, 1, (300, 4)), None
+    y = (a[:, 0] + 0.3 * made.normal(0, 1, 300) > 0).astype(float)
+    net = classifier.Network(4).fit(a, y)
+    for i in range(5):
+        hidden = [np.tanh(sum((a[i, k] - net.mean[k]) / net.scale[k] * net.w1[k, h] for k in range(4)) + net.b1[h]) for h in range(classifier.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        assert abs(net.scores(a[i : i + 1])[0] - 1 / (1 + np.exp(-logit))) < 1e-9
+    assert ((net.scores(a) > 0.5) == (y == 1)).mean() > 0.85

@@ -12,8 +12,8 @@ Defined results: a null text counts as empty; null hosts form one host; rows
 with equal host and text get equal verdicts, also if their doc_id repeats or
 is null; an empty table gives an empty result. ``clean`` returns docs' own
 columns, whatever their names, and touches only the text and n_chars.
-``text_rules`` and ``judge`` add columns and refuse docs that have columns of
-these names.
+``text_rules`` and ``judge`` add columns, to which docs' own columns of these
+names give way.
 
 Everything is DataFrame expressions. Lines reach a shuffle only as partial
 counts by (host, hash). They are hashed once, into a written table. The lines
@@ -79,15 +79,13 @@ RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 VERDICT = ("n_removed_words", "over_lines", "kept")
 
 
-def _refuse(docs: DataFrame, names: tuple[str, ...]) -> None:
-    clashing = {c.lower() for c in docs.columns} & {*names, "__w", "__t"}
-    if clashing:
-        raise ValueError(f"columns of the result have these names: {', '.join(sorted(clashing))}")
+def _without(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return docs.drop(*[c for c in docs.columns if c.lower() in {*names, "__w", "__t"}])
 
 
 def text_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of RULES."""
-    _refuse(docs, RULES)
+    docs = _without(docs, RULES)
     t = text_or_empty(text)
     chars = F.char_length(t)
     counts = docs.withColumn(
@@ -157,7 +155,7 @@ def _removals(docs: DataFrame, text: str, host: str, **limits) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_removed: float = MAX_REMOVED, **limits) -> DataFrame:
     """docs with the counts of ``text_rules``, n_removed_words, over_lines (hashes, null: none) and kept."""
-    _refuse(docs, RULES + VERDICT)
+    docs = _without(docs, RULES + VERDICT)
     removals = _removals(docs, text, host, **limits).withColumnsRenamed({"host": host, "text_hash": "__t"})
     ruled = text_rules(docs, text).withColumn("__t", F.xxhash64(text_or_empty(text)))
     joined = join_null_safe(ruled, removals, [host, "__t"], "left").drop("__t")
