@@ -37,8 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
-    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # whatever their names
+    found = pii.pseudonymise(docs.select(rest.alias("__doc"), "text"), PII_KEY)
+    own = {c: F.col("__doc").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    own["n_chars"] = F.when(F.col("text").isNull(), own["n_chars"]).otherwise(F.char_length("text").cast("long"))
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
