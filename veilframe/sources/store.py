@@ -8,11 +8,16 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that the running operator of this thread has made, if it deletes them at its end.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, so that their Python workers can import it."""
     context = spark.sparkContext
@@ -37,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
     spark.conf.set("spark.checkpoint.dir", own)
@@ -52,7 +57,8 @@ def scratch(spark: SparkSession, label: str) -> str:
         root = context._veilframe_scratch = f"{shared_dir(spark)}/veilframe-{uuid.uuid4().hex}"
         atexit.register(_remove_quietly, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    getattr(context, "_veilframe_open", []).append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -77,14 +83,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
     """What make returns, written; the tables that were written on the way are deleted."""
-    context = spark.sparkContext
-    outer, made = getattr(context, "_veilframe_open", []), []
-    context._veilframe_open = made
+    made: list[str] = []
+    outer = _made.set(made)
     try:
         df = make()
-        context._veilframe_open = outer
+    except BaseException:
+        _made.reset(outer)
+        _removed(spark, made)
+        raise
+    _made.reset(outer)
+    try:
         return written(df, label)
     finally:
-        context._veilframe_open = outer
-        for path in made:
-            remove(spark, path)
+        _removed(spark, made)
+
+
+def _removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        remove(spark, path)
