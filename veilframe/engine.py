@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,5 +87,10 @@ class Engine:
     def reencrypt(self, stored: DataFrame, entity: str) -> DataFrame:
         return migrate.reencrypt(stored, self.catalogue[entity], self.options.provider, self._tenant())
 
-    def audit(self) -> AuditReport:
+    @cached_property
+    def _report(self) -> AuditReport:
         return audit(self.catalogue)
+
+    def audit(self) -> AuditReport:
+        """The report over the catalogue, which is finished and can't change."""
+        return self._report

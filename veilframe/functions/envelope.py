@@ -8,6 +8,7 @@ are version, suite, scheme and key id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import IntEnum
 
 from pyspark.sql import Column
@@ -21,8 +22,37 @@ VERSION, SUITE, SCHEME = 1, 1, 1
 NONCE_BYTES, TAG_BYTES = 12, 16
 KEY_ID_MOST = 255
 FIXED_OVERHEAD = 14
-#: Suites by number: name, whether it can be used.
-SUITES = {0x01: ("AES-256-GCM", True), 0x02: ("AES-256-GCM-SIV", False), 0x03: ("XChaCha20-Poly1305", False), 0x10: ("AES-SIV", False)}
+
+
+@dataclass(frozen=True)
+class Suite:
+    """A cipher that an envelope can name. Reserved ones have no sizes yet."""
+
+    number: int
+    name: str
+    usable: bool = False
+    nonce_bytes: int = 0
+    tag_bytes: int = 0
+
+    def __post_init__(self) -> None:
+        if not 0 < self.number < 256 or not self.name.strip():
+            raise ValueError("a suite has a number from 1 to 255 and a name")
+        if self.usable != (self.nonce_bytes > 0 and self.tag_bytes > 0) or min(self.nonce_bytes, self.tag_bytes) < 0:
+            raise ValueError("a suite has sizes if and only if it can be used")
+
+
+#: Suites by number, usable and reserved; others are unknown.
+SUITES = {s.number: s for s in (Suite(0x01, "AES-256-GCM", True, NONCE_BYTES, TAG_BYTES), Suite(0x02, "AES-256-GCM-SIV"), Suite(0x03, "XChaCha20-Poly1305"), Suite(0x10, "AES-256-SIV"))}
+
+
+def suite_of(number: int) -> Suite:
+    """The suite of a number; SUITES.get gives None instead of raising."""
+    found = SUITES.get(number)
+    if found is None:
+        raise ValueError(f"no suite has the number {number}")
+    return found
+
+
 #: Schemes of associated data by number: name, whether it can be used.
 SCHEMES = {0x01: ("header-bound", True), 0x02: ("context-bound", False)}
 
@@ -116,7 +146,7 @@ def parse(b: Column) -> Column:
         (size < 8, ParseCode.TOO_SHORT),
         (_byte(b, F.lit(5)) != VERSION, ParseCode.UNSUPPORTED_VERSION),
         (~suite.isin(*SUITES), ParseCode.UNKNOWN_SUITE),
-        (~suite.isin(*[k for k, (_, usable) in SUITES.items() if usable]), ParseCode.UNSUPPORTED_SUITE),
+        (~suite.isin(*[k for k, s in SUITES.items() if s.usable]), ParseCode.UNSUPPORTED_SUITE),
         (~scheme.isin(*SCHEMES), ParseCode.UNKNOWN_SCHEME),
         (~scheme.isin(*[k for k, (_, usable) in SCHEMES.items() if usable]), ParseCode.UNSUPPORTED_SCHEME),
         (key_len == 0, ParseCode.INVALID_KEY_ID_LENGTH),

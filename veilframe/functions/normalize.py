@@ -1,8 +1,9 @@
 """Normalizers of searchable values, on the driver for terms and as columns for stored values. Both must agree.
 
 Unicode white space is trimmed, the email normalizer lowers case, and the
-result is composed (NFC). The column form trims and lowers in the JVM; Python
-sees only values that aren't ASCII.
+result is composed (NFC). The column form trims and lowers in the JVM. Spark has
+no function that composes, so every row passes through a Python worker, which
+gets null in the place of ASCII values.
 """
 
 from __future__ import annotations
@@ -32,10 +33,15 @@ def _lower(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def trimmed(value: str) -> str:
+    """value without Unicode white space at its ends (which, unlike in str.strip, leaves U+001C to U+001F)."""
+    return re.sub(rf"\A{TRIMMED}|{TRIMMED}\Z", "", value)
+
+
 def normalize(value: str, kind: Normalizer) -> str:
     """The normal form of a search term."""
-    trimmed = re.sub(f"^{TRIMMED}|{TRIMMED}$", "", value)
-    return unicodedata.normalize("NFC", _lower(trimmed) if kind == Normalizer.EMAIL else trimmed)
+    inner = trimmed(value)
+    return unicodedata.normalize("NFC", _lower(inner) if kind == Normalizer.EMAIL else inner)
 
 
 @F.pandas_udf(T.StringType())
@@ -55,9 +61,9 @@ def _lowered_composed(values: pd.Series) -> pd.Series:
 
 def normalized(value: Column, kind: Normalizer) -> Column:
     """The normal form of a column."""
-    trimmed = F.regexp_replace(value, f"^{TRIMMED}|{TRIMMED}$", "")
-    ascii_only = trimmed.rlike(r"\A\p{ASCII}*\z")
-    other = F.when(~ascii_only, trimmed)
+    inner = F.regexp_replace(value, rf"\A{TRIMMED}|{TRIMMED}\z", "")
+    ascii_only = inner.rlike(r"\A\p{ASCII}*\z")
+    other = F.when(~ascii_only, inner)
     if kind == Normalizer.EMAIL:
-        return F.when(ascii_only, F.lower(trimmed)).otherwise(_lowered_composed(other))
-    return F.when(ascii_only, trimmed).otherwise(_composed(other))
+        return F.when(ascii_only, F.lower(inner)).otherwise(_lowered_composed(other))
+    return F.when(ascii_only, inner).otherwise(_composed(other))

@@ -48,31 +48,29 @@ class AuditReport:
         return tuple(e for e in self.entries if e.classification == Classification.UNCLASSIFIED)
 
     def __str__(self) -> str:
-        if not self.entries:
-            return "(no string or binary columns)"
-        width = max(len(e.path) for e in self.entries)
-        return "\n".join(f"{e.path:<{width}}  {e.classification.value}" for e in self.entries)
+        pad = max([len(e.path) + 2 for e in self.entries], default=0)
+        lines = [e.path.ljust(pad) + e.classification.value for e in self.entries]
+        return "\n".join(lines or ["(no string or binary columns)"])
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(e.entity, e.logical, e.column, e.type, e.classification.value) for e in self.entries]
         return spark.createDataFrame(rows, "entity string, logical string, column string, type string, classification string")
 
 
-def _classified(spec: EntitySpec, column: str) -> Classification:
-    found = next((f for f in spec.fields if f.name == column), None)
-    if found is not None:
-        return Classification.SEARCHABLE if found.searchable else Classification.ENCRYPTED
-    return Classification.PLAINTEXT if column in spec.plain else Classification.UNCLASSIFIED
+def _declared(spec: EntitySpec) -> dict[str, Classification]:
+    """What the columns of an entity were declared to be; others are missing."""
+    found = dict.fromkeys(spec.plain, Classification.PLAINTEXT)
+    return found | {f.name: Classification.SEARCHABLE if f.searchable else Classification.ENCRYPTED for f in spec.fields}
 
 
 def audit(specs: Iterable[EntitySpec]) -> AuditReport:
     """The report over entities, in their order and their columns' order."""
     entries = []
     for spec in specs:
-        indexes = set(spec.index_columns)
+        indexes, declared = set(spec.index_columns), _declared(spec)
         for c in spec.schema.fields:
             if isinstance(c.dataType, T.StringType | T.BinaryType) and c.name not in indexes:
-                entries.append(AuditEntry(spec.name, spec.logical, c.name, c.dataType.simpleString(), _classified(spec, c.name)))
+                entries.append(AuditEntry(spec.name, spec.logical, c.name, c.dataType.simpleString(), declared.get(c.name, Classification.UNCLASSIFIED)))
     return AuditReport(tuple(entries))
 
 

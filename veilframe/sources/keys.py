@@ -11,21 +11,22 @@ from typing import Protocol
 
 from veilframe.errors import KeyResolutionError
 from veilframe.functions.kdf import KEY_BYTES, field_key, hkdf, prefixed
+from veilframe.functions.normalize import trimmed
 
 VERSION_BYTES = 2
 NAME_MOST = 128
 
 
 def tenant_name(value: str) -> str:
-    """A tenant's name: trimmed, not blank."""
-    if not isinstance(value, str) or not value.strip():
+    """A tenant's name: without Unicode white space at its ends, not blank."""
+    if not isinstance(value, str) or not (found := trimmed(value)):
         raise ValueError("a tenant must have a name")
-    return value.strip()
+    return found
 
 
 def logical_name(value: str) -> str:
     """A logical name: trimmed, case-sensitive, at most 128 characters, no control characters."""
-    if not isinstance(value, str) or not (found := value.strip()):
+    if not isinstance(value, str) or not (found := trimmed(value)):
         raise ValueError("a logical name must not be blank")
     if len(found) > NAME_MOST:
         raise ValueError(f"a logical name has at most {NAME_MOST} characters")
@@ -218,13 +219,16 @@ class TenantRegistry:
 
 
 class RegistryKeyProvider:
-    """Keys of tenants whose records hold wrapped master keys. Each version is unwrapped once a provider."""
+    """Keys of tenants whose records hold wrapped master keys.
+
+    A tenant's version is unwrapped once and kept until ``forget``.
+    """
 
     provider_id = "tenant-registry"
 
     def __init__(self, registry: TenantRegistry, services: Mapping[ServiceKind, KeyService]) -> None:
-        self._registry, self._services = registry, dict(services)
-        self._masters: dict[bytes, bytes] = {}
+        self._registry, self._services = registry, services
+        self._masters: dict[tuple[str, bytes], bytes] = {}
 
     def current_key_id(self, tenant: str) -> bytes:
         return self._registry.get(tenant).current_key_id
@@ -233,17 +237,24 @@ class RegistryKeyProvider:
         return self._registry.get(tenant).known_key_ids()
 
     def field_key(self, tenant: str, key_id: bytes, purpose: str, entity: str, name: str) -> bytes:
-        version = self._registry.get(tenant).version_of(key_id)
+        record = self._registry.get(tenant)
+        version, kept = record.version_of(key_id), (record.tenant, key_id)
         if version is None:
             raise KeyResolutionError("the key id is not one of this tenant's")
-        if key_id not in self._masters:
+        if kept not in self._masters:
             if version.wrapped is None:
                 raise KeyResolutionError(f"version {version.version} has no wrapped key")
             service = self._services.get(version.service_key.kind)
             if service is None:
                 raise KeyResolutionError(f"no service is set for {version.service_key.kind.name}")
-            self._masters[key_id] = service.unwrap(WrappedKey(key_id, version.wrapped))
-        return field_key(self._masters[key_id], purpose, entity, name)
+            self._masters[kept] = service.unwrap(WrappedKey(key_id, version.wrapped))
+        return field_key(self._masters[kept], purpose, entity, name)
+
+    def forget(self, tenant: str | None = None) -> None:
+        """Drops the unwrapped keys of a tenant, or of all; the next use unwraps anew."""
+        name = None if tenant is None else tenant_name(tenant)
+        for kept in [k for k in self._masters if name in (None, k[0])]:
+            del self._masters[kept]
 
 
 def resolved_tenant(tenant: str | Callable[[], str | None]) -> str:

@@ -8,14 +8,15 @@ only.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from enum import Enum
 from typing import Protocol
 from urllib.parse import urlsplit
 
-from veilframe.errors import KeyProviderError
+from veilframe.errors import KeyProviderError, SpecError
 from veilframe.functions.kdf import crc32c
-from veilframe.sources.keys import ServiceKey, ServiceKind, WrappedKey
+from veilframe.sources.keys import KeyService, ServiceKey, ServiceKind, WrappedKey
 
 
 def _given(text: str) -> str:
@@ -222,3 +223,49 @@ class GoogleKms(_Service):
         if got.checksum != crc32c(got.data):
             raise KeyProviderError(f"{self.title} sent data with another checksum for key '{self.reference}'")
         return got.data
+
+
+class KeyServices(Mapping):
+    """The services of an application, by kind, for a RegistryKeyProvider.
+
+    A key's reference is checked when it is registered. The client is made by
+    its factory when the service is first used. The first registration of a
+    kind counts.
+    """
+
+    def __init__(self) -> None:
+        self._makers: dict[ServiceKind, Callable[[], KeyService]] = {}
+        self._made: dict[ServiceKind, KeyService] = {}
+
+    def _put(self, kind: ServiceKind, reference: str | None, of: type, service: type, client: Callable) -> KeyServices:
+        if client is None or not callable(client):
+            raise TypeError("a factory of the client is needed")
+        if reference is None or not reference.strip():
+            raise SpecError(f"{service.title} needs the reference of a key")
+        known = of.parse(reference)
+        self._makers.setdefault(kind, lambda: service(known, client()))
+        return self
+
+    def aws(self, reference: str | None, client: Callable) -> KeyServices:
+        return self._put(ServiceKind.AWS_KMS, reference, AwsKeyReference, AwsKms, client)
+
+    def azure(self, reference: str | None, client: Callable) -> KeyServices:
+        return self._put(ServiceKind.AZURE_KEY_VAULT, reference, AzureKeyReference, AzureKeyVault, client)
+
+    def google(self, reference: str | None, client: Callable) -> KeyServices:
+        return self._put(ServiceKind.GOOGLE_KMS, reference, GoogleKeyReference, GoogleKms, client)
+
+    def custom(self, service: KeyService) -> KeyServices:
+        self._makers.setdefault(ServiceKind.CUSTOM, lambda: service)
+        return self
+
+    def __getitem__(self, kind: ServiceKind) -> KeyService:
+        if kind not in self._made:
+            self._made[kind] = self._makers[kind]()
+        return self._made[kind]
+
+    def __iter__(self) -> Iterator[ServiceKind]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
