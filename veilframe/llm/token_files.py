@@ -59,6 +59,9 @@ KEPT_BYTES, ENTRY_BYTES, LONGEST = 160 << 20, 160, 64
 _PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTING))}
 
+#: Marks that the tokenizer separates from letters before them.
+MARKS = frozenset(b".,!?;:")
+
 _DOC = struct.Struct("<qQII")
 _DOCS = np.dtype([("doc_id", "<i8"), ("tokens", "<u8"), ("frame", "<u4"), ("flags", "<u4")])
 
@@ -112,11 +115,19 @@ class ChunkIds(dict):
         return np.array([t.id for t in found], self.dtype).tobytes() if self.code is None else array(self.code, [t.id for t in found]).tobytes()
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks that aren't known."""
-        marked = {c for c in chunks if c[-1:] in b".,!?;:" and c[-2:-1].isalpha()}
-        new = [*(chunks - marked).union([c[:-1] for c in marked], [c[-1:] for c in marked])]
-        made = {c: w for c in new if (w := self.get(c) or self.word(c)) is not None}
-        rest = [c for c in new if c not in made]
+        """The ids of chunks that aren't known; ASCII letters are small ones."""
+        marked = [c for c in chunks if c[-1] in MARKS and c[-2:-1].isalpha()]
+        made, known, rest = {}, self.get, []
+        tokenize, code = self.model.tokenize if self.has_words and self.code else None, self.code
+        for c in chunks.difference(marked).union([c[:-1] for c in marked], [c[-1:] for c in marked]):
+            found = known(c)
+            if found is None:
+                if tokenize is not None and c.isalpha():  # ASCII letters stand for themselves
+                    found = array(code, [t.id for t in tokenize(c.decode())]).tobytes()
+                elif c.isascii() or (found := self.word(c)) is None:
+                    rest.append(c)
+                    continue
+            made[c] = found
         made.update(zip(rest, self.encode([c.decode("utf-8", "surrogatepass") for c in rest]), strict=True))
         made.update([(c, made[c[:-1]] + made[c[-1:]]) for c in marked])
         return made
@@ -126,19 +137,18 @@ class ChunkIds(dict):
 
     def prepare(self, chunks: set[bytes]) -> None:
         """Makes the ids of chunks known. A full generation becomes the older one, from which chunks come back when they are met again."""
-        missing = chunks.difference(self)
-        back = missing.intersection(self.older)
-        made = self.learn(missing - back)
-        made.update([(c, self.older[c]) for c in back])
-        self.passing = {c: ids for c, ids in made.items() if len(c) > LONGEST}
-        for c in self.passing:
-            del made[c]
+        # no set operations with dictionaries: they would go through all that is kept
+        missing = [c for c in chunks if c not in self]
+        older = self.older
+        made = self.learn({c for c in missing if c not in older})
+        made.update([(c, older[c]) for c in missing if c in older])
+        self.passing = {c: made.pop(c) for c in [c for c in made if len(c) > LONGEST]}
         size = sum(map(len, made)) + sum(map(len, made.values())) + ENTRY_BYTES * len(made)
         if self.held + size > KEPT_BYTES // 2:
             self.older = dict(self)
             self.clear()
             self.held = 0
-            self.passing.update([(c, self.older[c]) for c in chunks.intersection(self.older)])
+            self.passing.update([(c, self.older[c]) for c in chunks if c in self.older])
         self.update(made)
         self.held += size
 
