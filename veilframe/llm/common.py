@@ -128,7 +128,3 @@ class Recent(dict):
             self.held = self.entry + 4 * len(key)
         self[key] = value
         return value
-
-    def forget(self) -> None:
-        self.clear()
-        self.older, self.held = {}, 0

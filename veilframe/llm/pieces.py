@@ -51,7 +51,7 @@ UNKNOWN_PENALTY = 10.0
 N_BEST = 3
 LITTLE = sys.byteorder == "little"
 #: Bytes of parts that a worker keeps with their segmentations, about, and of an entry besides its text.
-PARTS_BYTES, ENTRY_BYTES = 144 << 20, 300
+PARTS_BYTES, ENTRY_BYTES = 96 << 20, 300
 SHORT = 64
 #: Scores are multiples of 1 / GRID.
 GRID = 1 << 20
@@ -256,13 +256,14 @@ class Pieces:
             more = [(loss + top - score, (*changes, (k, r)) if r else changes) for loss, changes in options for r, (score, _) in enumerate(others[k])]
             more.sort(key=lambda x: (x[0], len(x[1]), x[1]))
             options = more[: self.n]
-        best = [x[0] for x in known]
+        whole = b"".join([x[0] for x in known])
+        begins = {k: sum([len(x[0]) for x in known[:k]]) for k in others}
         out = []
         for loss, changes in options:
-            chosen = best.copy() if changes else best
-            for k, r in changes:
-                chosen[k] = others[k][r][1]
-            out.append((base - loss, np.frombuffer(b"".join(chosen), "<i4")))
+            made = whole
+            for k, r in reversed(changes):  # from the right, so that what is to the left stays where it is
+                made = made[: begins[k]] + others[k][r][1] + made[begins[k] + len(known[k][0]) :]
+            out.append((base - loss, np.frombuffer(made, "<i4")))
         return out
 
     def decode(self, ids) -> str:
@@ -284,7 +285,7 @@ class Speller(dict):
 
 @cache
 def loaded(path: str, n: int) -> tuple[Pieces, Speller]:
-    """One model for a worker process, whatever its tasks (tasks find it by this function's name). Parts are kept for a task."""
+    """One model for a worker process, with the parts that it keeps, whatever its tasks (tasks find it by this function's name)."""
     model = Pieces.load(path, n)
     return model, Speller(model)
 
@@ -297,12 +298,6 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, speller = loaded(path, n)
-        try:
-            yield from rows_of(batches, model, speller)
-        finally:
-            model.kept.forget()  # the worker may go on with other stages' tasks
-
-    def rows_of(batches: Iterator[pa.RecordBatch], model: Pieces, speller: Speller) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows, place = [], []
             for i, text in enumerate(batch.column("__text").to_pylist()):
