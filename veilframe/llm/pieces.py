@@ -235,14 +235,18 @@ class Pieces:
     of_atom = of_part
 
     def n_best(self, text: str | None) -> list[tuple[float, np.ndarray]]:
-        """The n best (score, ids) of a text, best first.
+        """The n best (score, ids) of a text, best first."""
+        return [(score, ids) for score, ids, _ in self.segmentations(text)]
+
+    def segmentations(self, text: str | None) -> list[tuple[float, np.ndarray, list[tuple[str, bytes]]]]:
+        """The n best (score, ids, the parts with other ids than in the best, with these ids) of a text, best first.
 
         A segmentation that isn't best in some part loses there at least what
         the part's second best loses; so only the n - 1 parts with the
         smallest losses can differ from their best, and only they are searched.
         """
         if not text:
-            return [(0.0, np.empty(0, "<i4"))]
+            return [(0.0, np.empty(0, "<i4"), [])]
         parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
         known = list(map(self.kept.__getitem__, parts))
         base = sum([x[1] for x in known])
@@ -263,7 +267,7 @@ class Pieces:
             made = whole
             for k, r in reversed(changes):  # from the right, so that what is to the left stays where it is
                 made = made[: begins[k]] + others[k][r][1] + made[begins[k] + len(known[k][0]) :]
-            out.append((base - loss, np.frombuffer(made, "<i4")))
+            out.append((base - loss, np.frombuffer(made, "<i4"), [(parts[k], others[k][r][1]) for k, r in changes]))
         return out
 
     def decode(self, ids) -> str:
@@ -277,9 +281,11 @@ class Speller(dict):
     def __init__(self, model: Pieces) -> None:
         super().__init__({i: p.encode("utf-8", "surrogatepass") for i, p in model.names.items()} | {i: bytes([b]) for i, b in model.bytes.items()})
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.__getitem__, ids.tolist()))
+
     def text(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.__getitem__, ids.tolist()))
-        text = raw.decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = self.raw(ids).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -302,8 +308,13 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
             rows, place = [], []
             for i, text in enumerate(batch.column("__text").to_pylist()):
                 plain = (text or "").replace(SPACE, " ")
-                for rank, (score, ids) in enumerate(model.n_best(text), 1):
-                    rows.append((rank, score, len(ids), zlib.crc32(ids.tobytes()), speller.text(ids) == plain, ids if with_ids else None))
+                equal = False
+                for rank, (score, ids, changes) in enumerate(model.segmentations(text), 1):
+                    if equal:  # the best gives the text back; the others differ from it in these parts only
+                        same = all(speller.raw(np.frombuffer(new, "<i4")) == part.encode("utf-8", "surrogatepass") for part, new in changes)
+                    else:
+                        same = equal = speller.text(ids) == plain
+                    rows.append((rank, score, len(ids), zlib.crc32(ids.tobytes()), same, ids if with_ids else None))
                     place.append(i)
             took = pa.array(place, pa.int64())
             kept = [batch.column(c).take(took) for c in keep]
