@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from compare import oracle, rows
 from pyspark.sql import functions as F
@@ -90,3 +92,38 @@ def test_without_vectors_or_queries(spark):
     assert cover_tree.top_k(frame.where("vec_id < 50"), F.col("vec_id") % 50 == 0, 5).count() == 0
     assert cover_tree.top_k(frame.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
     assert sorted(map(tuple, cover_tree.top_k(frame, F.col("vec_id") % 50 == 0, 5).collect())) == [(50, 1, 100, 0), (100, 1, 50, 0)]
+
+
+def spread(n, width=64, seed=11):
+    """Vectors without structure, of about equal lengths."""
+    made = np.random.default_rng(seed).normal(0, 1, (n, width))
+    return np.floor(256 * made / np.linalg.norm(made, axis=1, keepdims=True))
+
+
+def test_queries_are_no_part_of_trees_and_vectors_without_structure_are_quick(monkeypatch):
+    points, built, plain = spread(2048 + 1024), [], cover_tree.build
+    monkeypatch.setattr(cover_tree, "build", lambda p, n: built.append(len(p)) or plain(p, n))
+    began = time.process_time()
+    scores, _ = cover_tree.search(points, np.arange(len(points)), 1024, 5)
+    assert time.process_time() - began < 5 and sum(built) == 2048
+    assert (scores == -np.sort(-(points[:1024] @ points[1024:].T), axis=1)[:, :5]).all()
+
+
+def test_search_equals_brute_force_on_all_kinds(monkeypatch):
+    monkeypatch.setattr(cover_tree, "TREE_ROWS", 150)
+    monkeypatch.setattr(cover_tree, "WALK_ROWS", 16)
+    kinds = [spread(400, 16), clustered(400, 9), clustered(400, 9) * 2.0**14, spread(400, 8) * 2.0**20, np.repeat(clustered(100, 3), 4, axis=0), np.zeros((400, 3)), np.ones((400, 0))]
+    kinds.append(np.r_[spread(40, 4), np.repeat(spread(1, 4, 3), 360, axis=0)])
+    for points in kinds:
+        ids = np.r_[np.arange(40) * 3, np.random.default_rng(5).integers(0, 300, 360)]
+        scores, found = cover_tree.search(points, ids, 40, 5)
+        product = points.astype(np.int64) @ points.astype(np.int64).T
+        for q in range(40):
+            others = 40 + np.flatnonzero(ids[40:] != ids[q])
+            best = sorted(zip((-product[q, others]).tolist(), ids[others].tolist(), strict=True))[:5]
+            assert list(zip((-scores[q]).tolist(), found[q].tolist(), strict=True)) == best
+
+
+def test_wide_vectors_make_smaller_tasks():
+    rows = cover_tree.for_width
+    assert rows(8192, 64) == 8192 and rows(8192, 256) == 4096 and rows(8192, 10**6) == 1024 and rows(2, 10**6) == 1
