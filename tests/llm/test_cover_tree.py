@@ -127,3 +127,13 @@ def test_search_equals_brute_force_on_all_kinds(monkeypatch):
 def test_wide_vectors_make_smaller_tasks():
     rows = cover_tree.for_width
     assert rows(8192, 64) == 8192 and rows(8192, 256) == 4096 and rows(8192, 10**6) == 1024 and rows(2, 10**6) == 1
+
+
+def test_larger_tables_are_quick_and_many_results_are_whole():
+    points = spread(400 + 16_384, seed=12)
+    product = np.sort(-(points[:400] @ points[400:].T), axis=1)
+    began = time.process_time()
+    scores, _ = cover_tree.search(points, np.arange(len(points)), 400, 5)
+    assert time.process_time() - began < 15 and (scores == -product[:, :5]).all()
+    scores, _ = cover_tree.search(points[:470], np.arange(470), 400, 200)
+    assert (scores[:, :70] == -np.sort(-(points[:400] @ points[400:470].T), axis=1)).all() and (scores[:, 70:] == -(2**63)).all()

@@ -52,12 +52,12 @@ from veilframe.llm.common import lookup, written
 
 #: Rows of a block and queries of a task, about (of up to WIDTH components, fewer of wider ones): they bound a task's memory.
 BLOCK_ROWS = 8_192
-QUERY_ROWS = 8_192
+QUERY_ROWS = 32_768
 WIDTH = 128
-#: Rows of a tree, queries that walk it together, and centres that a cover takes at once.
+#: Rows of a tree, queries that walk it together, and centres that a cover takes at once, at first and at most.
 TREE_ROWS = 2_048
 WALK_ROWS = 1_024
-BATCH = 64
+FIRST_BATCH, BATCH = 8, 64
 #: Rows of a cell, about, and cells at most: their centres travel to every task.
 CELL_ROWS = 8_192
 MAX_CELLS = 2_048
@@ -65,7 +65,7 @@ MAX_CELLS = 2_048
 BASE = 1.25
 #: Of the pairs of queries and nodes, the share from which on they are met in one product.
 DENSE = 0.25
-#: A query's candidates in one product, from which on the k-th best is sought first.
+#: Queries' candidates in one product, on average, from which on the k-th best is sought first.
 MANY = 64
 EXACT_FLOAT, EXACT_SINGLE = 2.0**52, 2.0**24
 
@@ -145,7 +145,7 @@ def build(points: np.ndarray, n_queries: int) -> Node:
         apart = BASE**node.level
         own, own_lengths = narrow[members], lengths[members] if exact else None
         places = [node.place]
-        belongs, batch = np.zeros(len(members), np.int64), 1
+        belongs, batch = np.zeros(len(members), np.int64), FIRST_BATCH
         while len(far := np.flatnonzero(np.sqrt(nearest) > apart)):
             far = far[np.argsort(-nearest[far], kind="stable")[:batch]]
             d = squared(own[far], own, own_lengths, own_lengths[far] if exact else None)
@@ -222,17 +222,16 @@ def search(points: np.ndarray, ids: np.ndarray, n_queries: int, k: int, known: n
         hits = product >= worst(q).astype(product.dtype)[:, None]
         if whole is not None:
             hits &= product > low
-        counts = np.count_nonzero(hits, axis=1)
-        many = np.flatnonzero(counts > max(MANY, k))
-        if len(many):
+        some = np.count_nonzero(hits)
+        if not some:
+            return
+        if some > max(MANY, k) * len(q):
+            many = np.flatnonzero(np.count_nonzero(hits, axis=1) > max(MANY, k))
             some = product[many]
             least = np.partition(some, len(d) - k, axis=1)[:, len(d) - k]
             hits[many] &= some >= least[:, None]
-        touched = np.flatnonzero(counts)
-        if not len(touched):
-            return
-        rows, cols = np.divmod(np.flatnonzero(hits[touched]), len(d))
-        rows = touched[rows]
+        rows, cols = np.divmod(np.flatnonzero(hits), len(d))
+        touched = np.unique(rows)
         all_rows = np.r_[rows, np.repeat(touched, k)]
         all_scores = np.r_[product[rows, cols].astype(np.int64), scores[q[touched]].ravel()]
         all_ids = np.r_[ids[d[cols]], found[q[touched]].ravel()]
