@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same, oracle
 from pyspark.sql import functions as F
@@ -377,6 +378,45 @@ def test_search_is_a_star(model_path):
     assert model.search("▁hello")[0] == model.of_atom("▁hello")[1::-1] or model.search("▁hello")[0][1] == model.of_atom("▁hello")[0]
 
 
+class Counted(dict):
+    """Counts what is looked up first in a trie: once for each place that is gone through."""
+
+    looked = 0
+
+    def get(self, key, default=None):
+        Counted.looked += 1
+        return super().get(key, default)
+
+
+def test_beginnings_that_parts_share_are_gone_through_once(model_path, monkeypatch):
+    made = random.Random(21)
+    texts = [" ".join("".join(made.choice(("the", "an", "tion", "é", "x😀", "s")) for _ in range(made.randint(1, 4))) + made.choice(("", ",", ".")) for _ in range(60)) for _ in range(30)]
+    model = pieces.Pieces.load(model_path, 1)
+    model.trie, model.back, Counted.looked = Counted(model.trie), Counted(model.back), 0
+    monkeypatch.setattr(pieces, "loaded", lambda path, n: (model, pieces.Speller(model)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["doc_id", "__text"])
+    rows = [r for b in pieces._encoded(model_path, 1, True, ["doc_id"])(iter([batch])) for r in b.to_pylist()]
+    parts = {p for t in texts for p in model.cut.findall(pieces.SPACE + t.replace(" ", pieces.SPACE))}
+    assert Counted.looked == len({p[:k] for p in parts for k in range(1, len(p) + 1)})
+    alone = pieces.Pieces.load(model_path, 1)
+    assert [(r["score"], r["ids"]) for r in rows] == [(alone.n_best(t)[0][0], alone.n_best(t)[0][1].tolist()) for t in texts] and all(r["decoded_equal"] for r in rows)
+
+
+def test_ids_are_decoded_alike_as_arrays(model_path):
+    model = pieces.Pieces.load(model_path, 1)
+    speller, text = pieces.Speller(model), "the and 日本 😀 é\n\x00 " * 40
+    ids = model.n_best(text)[0][1]
+    assert len(ids) > pieces.MANY_IDS and speller.raw(ids) == b"".join(speller[i] for i in ids.tolist()) and speller.text(ids) == text
+
+
+def test_parts_in_order_give_what_a_star_gives_alone(model_path):
+    model, made = pieces.Pieces.load(model_path, 2), random.Random(22)
+    parts = sorted({"▁" * made.randint(0, 2) + "".join(made.choice(["the", "an", "é", "ß", "日", "😀", ".", "a", "\ud800"]) for _ in range(made.randint(1, 9))) for _ in range(400)})
+    for part, (ids, score, loss) in zip(parts, model.of_parts(parts), strict=True):
+        found = model.search(part)
+        assert (score, ids) == found[0] and loss == (score - found[1][0] if len(found) > 1 else float("inf"))
+
+
 def test_encode_query_shape(spark, model_path):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     got = pieces.encode_n_best(docs, model_path).collect()

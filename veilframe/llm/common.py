@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 from operator import add, and_
@@ -119,12 +119,16 @@ class Recent(dict):
 
     def __missing__(self, key):
         value = self.older[key] if key in self.older else self.make(key)
-        if len(key) > self.LONGEST:
-            return value
-        self.held += self.entry + 4 * len(key)
-        if self.held > self.most:
-            self.older = dict(self)
-            self.clear()
-            self.held = self.entry + 4 * len(key)
-        self[key] = value
+        if len(key) <= self.LONGEST:
+            self.keep_all([(key, value)])
         return value
+
+    def keep_all(self, pairs: Iterable[tuple]) -> None:
+        """Keeps (argument, value) pairs of arguments that aren't long and not among the recent ones."""
+        for key, value in pairs:
+            self.held += self.entry + 4 * len(key)
+            if self.held > self.most:
+                self.older = dict(self)
+                self.clear()
+                self.held = self.entry + 4 * len(key)
+            self[key] = value

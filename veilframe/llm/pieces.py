@@ -9,7 +9,9 @@ A text falls apart before each run of spaces and around each line end, if no
 piece of the model spans such a place. Each part has a lattice of its own, which A*
 searches. As the heuristic is exact, the first path goes straight from the end
 to the start, and when it is complete the best of the waiting ones has the
-score of the second: both scores are kept. The n best of a text differ from
+score of the second: both scores are kept. A batch's new parts are gone
+through in order, since what the heuristic and the pieces before a place are
+is the same in all parts that begin alike. The n best of a text differ from
 its best only in the n - 1 parts whose second best lose the least; there A*
 goes on to the n-th path, and the parts' paths are combined. Scores are
 multiples of 2^-20, so that every sum is exact, whatever its order. Time and
@@ -34,7 +36,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heappop, heappush
 from itertools import islice
@@ -52,7 +54,8 @@ N_BEST = 3
 LITTLE = sys.byteorder == "little"
 #: Bytes of parts that a worker keeps with their segmentations, about, and of an entry besides its text.
 PARTS_BYTES, ENTRY_BYTES = 96 << 20, 300
-SHORT = 64
+#: Ids from which on they are decoded as arrays.
+MANY_IDS = 64
 #: Scores are multiples of 1 / GRID.
 GRID = 1 << 20
 
@@ -111,7 +114,6 @@ class Pieces:
         # spaces with what follows and line ends are parts, unless a piece has a space or a line end after another character
         apart = not any("\n" in p and len(p) > 1 or SPACE in p.lstrip(SPACE) for p in pieces)
         self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if apart else r"[\s\S]+")
-        self.joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
         self.kept = Recent(self.of_part, PARTS_BYTES, ENTRY_BYTES)
 
     @staticmethod
@@ -201,56 +203,93 @@ class Pieces:
         """The n best (score, ids) of one lattice."""
         return list(islice(self.paths(part), self.n))
 
-    def of_part(self, part: str) -> tuple[bytes, float, float]:
-        """(ids, score) of a lattice's best path, and what the second best loses.
+    def of_parts(self, parts: Iterable[str]) -> Iterator[tuple[bytes, float, float]]:
+        """(ids, score) of each lattice's best path, and what the second best loses.
 
-        These are the steps of ``paths`` up to its first path: the step taken
-        next has the best score and is the last one's child, so of the waiting
-        ones only the best score matters. Where no piece spans the place before
-        the last character, as before most marks, both sides are known apart.
+        These are the steps of ``paths`` up to its first path, from the end to
+        the start: the step taken next has the best score and is the last one's
+        child, so of the waiting ones only the best score matters. The heuristic
+        of a place, which child is best there, and what the best of the others
+        loses depend only on what is before it: they are found together, and stay
+        for what the next part begins with alike, so parts are best given in order.
         """
-        if 1 < len(part) <= SHORT and part[-2:] not in self.joined:
-            a, b = self.kept[part[:-1]], self.kept[part[-1]]
-            return a[0] + b[0], a[1] + b[1], min(a[2], b[2])
-        forward = self.forward(part)
-        best, second, behind, end = forward[-1], -inf, 0.0, len(part)
-        ids: list[int] = []
-        while end:
-            found = None
-            for edge in reversed(self.edges(part, end)):
-                total = behind + edge[1] + forward[edge[0]]
-                if found is None and total == best:
-                    found = edge
-                elif total > second:
-                    second = total
-            end, score, piece = found
-            behind += score
-            if piece is not None:
-                ids.append(piece)
-            else:
-                ids.extend([self.byte_ids[b] for b in reversed(part[end].encode("utf-8", "surrogatepass"))])
-        ids.reverse()
-        return array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes(), best, best - second
+        back, unknown, byte_ids = self.back, self.unknown, self.byte_ids
+        forward, children, before = [0.0], [(0, None, inf)], ""
+        for part in parts:
+            same = 0
+            for a, b in zip(before, part, strict=False):
+                if a != b:
+                    break
+                same += 1
+            before = part
+            del forward[same + 1 :], children[same + 1 :]
+            for at in range(same, len(part)):  # the edges that edges() has for the place after it
+                node, end = back.get(part[at]), at
+                if node is None or node[1] is None:
+                    top, second, start, best = forward[at] + unknown, -inf, at, None
+                else:
+                    top, second, start, best = -inf, -inf, at, None
+                while node is not None:
+                    kids, score, piece = node
+                    if score is not None:
+                        total = forward[end] + score
+                        if total >= top:  # of equal ones the longest
+                            second, top, start, best = top, total, end, piece
+                        elif total > second:
+                            second = total
+                    if not end or not kids:
+                        break
+                    end -= 1
+                    node = kids.get(part[end])
+                forward.append(top)
+                children.append((start, best, top - second))
+            end, loss = len(part), inf
+            ids: list[int] = []
+            while end:
+                end, piece, lost = children[end]
+                if lost < loss:
+                    loss = lost
+                if piece is not None:
+                    ids.append(piece)
+                else:
+                    ids.extend([byte_ids[b] for b in reversed(part[end].encode("utf-8", "surrogatepass"))])
+            ids.reverse()
+            yield array("i", ids).tobytes() if LITTLE else np.array(ids, "<i4").tobytes(), forward[-1], loss
+
+    def of_part(self, part: str) -> tuple[bytes, float, float]:
+        return next(self.of_parts([part]))
 
     of_atom = of_part
 
+    def parts(self, text: str | None) -> list[str]:
+        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def learn(self, parts: Iterable[list[str]]) -> None:
+        """Keeps what these texts' parts give; those not known yet are gone through in order."""
+        kept = self.kept
+        wanted = {x for x in set().union(*parts) if len(x) <= kept.LONGEST}.difference(kept)
+        older = {x: kept.older[x] for x in wanted.intersection(kept.older)}
+        kept.keep_all(older.items())
+        new = sorted(wanted.difference(older))
+        kept.keep_all(zip(new, self.of_parts(new), strict=True))
+
     def n_best(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a text, best first."""
         return [(score, ids) for score, ids, _ in self.segmentations(text)]
 
-    def segmentations(self, text: str | None) -> list[tuple[float, np.ndarray, list[tuple[str, bytes]]]]:
+    def segmentations(self, text: str | None, parts: list[str] | None = None) -> list[tuple[float, np.ndarray, list[tuple[str, bytes]]]]:
         """The n best (score, ids, the parts with other ids than in the best, with these ids) of a text, best first.
 
         A segmentation that isn't best in some part loses there at least what
         the part's second best loses; so only the n - 1 parts with the
         smallest losses can differ from their best, and only they are searched.
+        parts are the text's, if they are there already.
         """
         if not text:
             return [(0.0, np.empty(0, "<i4"), [])]
-        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
-        known = list(map(self.kept.__getitem__, parts))
-        base = sum([x[1] for x in known])
-        losses = np.array([x[2] for x in known])
+        parts = self.parts(text) if parts is None else parts
+        best, scores, losses = zip(*map(self.kept.__getitem__, parts), strict=True)
+        base, losses = sum(scores), np.array(losses)
         order = np.argsort(losses, kind="stable")[: self.n - 1]
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         others: dict[int, list[tuple[float, bytes]]] = {}
@@ -260,13 +299,13 @@ class Pieces:
             more = [(loss + top - score, (*changes, (k, r)) if r else changes) for loss, changes in options for r, (score, _) in enumerate(others[k])]
             more.sort(key=lambda x: (x[0], len(x[1]), x[1]))
             options = more[: self.n]
-        whole = b"".join([x[0] for x in known])
-        begins = {k: sum([len(x[0]) for x in known[:k]]) for k in others}
+        whole = b"".join(best)
+        begins = {k: sum(map(len, best[:k])) for k in others}
         out = []
         for loss, changes in options:
             made = whole
             for k, r in reversed(changes):  # from the right, so that what is to the left stays where it is
-                made = made[: begins[k]] + others[k][r][1] + made[begins[k] + len(known[k][0]) :]
+                made = made[: begins[k]] + others[k][r][1] + made[begins[k] + len(best[k]) :]
             out.append((base - loss, np.frombuffer(made, "<i4"), [(parts[k], others[k][r][1]) for k, r in changes]))
         return out
 
@@ -280,9 +319,20 @@ class Speller(dict):
 
     def __init__(self, model: Pieces) -> None:
         super().__init__({i: p.encode("utf-8", "surrogatepass") for i, p in model.names.items()} | {i: bytes([b]) for i, b in model.bytes.items()})
+        # the same as arrays: all bytes, where an id's begin, and their number, -1 for other ids
+        self.bytes = np.frombuffer(b"".join(self.values()), np.uint8)
+        self.lengths, self.begins = np.full(max(self, default=-1) + 1, -1), np.zeros(max(self, default=-1) + 1, np.int64)
+        lengths = np.array([len(x) for x in self.values()], np.int64)
+        self.lengths[list(self)], self.begins[list(self)] = lengths, np.cumsum(lengths) - lengths
 
     def raw(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.__getitem__, ids.tolist()))
+        if len(ids) < MANY_IDS:
+            return b"".join(map(self.__getitem__, ids.tolist()))
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.begins[ids] - ends + lengths, lengths)
+        places += np.arange(len(places))
+        return self.bytes[places].tobytes()
 
     def text(self, ids: np.ndarray) -> str:
         text = self.raw(ids).decode("utf-8", "surrogatepass").replace(SPACE, " ")
@@ -306,10 +356,13 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
         model, speller = loaded(path, n)
         for batch in sliced(batches):
             rows, place = [], []
-            for i, text in enumerate(batch.column("__text").to_pylist()):
+            texts = batch.column("__text").to_pylist()
+            parts = [model.parts(x) for x in texts]
+            model.learn(parts)
+            for i, text in enumerate(texts):
                 plain = (text or "").replace(SPACE, " ")
                 equal = False
-                for rank, (score, ids, changes) in enumerate(model.segmentations(text), 1):
+                for rank, (score, ids, changes) in enumerate(model.segmentations(text, parts[i]), 1):
                     if equal:  # the best gives the text back; the others differ from it in these parts only
                         same = all(speller.raw(np.frombuffer(new, "<i4")) == part.encode("utf-8", "surrogatepass") for part, new in changes)
                     else:
