@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import jaccard, mixing, pieces, pii, quality_rules
-from veilframe.llm.common import ship, table, written
+from veilframe.llm.common import ship, small_batches_from_here, table, written
 from veilframe.llm.entry import PII_KEY
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches_from_here(spark)  # the earlier stages are written with small batches; this one is written by the caller
     return pieces.encode_n_best(docs, MODEL, keep=("doc_id", "lang", "source"))
 
 

@@ -27,18 +27,27 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 #: Rows of a batch that a job of these operators sends to Python: whole texts at Spark's 10,000 would fill a worker.
 BATCH_ROWS = 512
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs started inside send batches of at most BATCH_ROWS rows to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
+
+
+def small_batches_from_here(spark: SparkSession) -> None:
+    """Batches of at most BATCH_ROWS rows for the rest of the session, unless a number is set: for a DataFrame that runs in its caller's job."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

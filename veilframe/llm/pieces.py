@@ -33,6 +33,7 @@ columns to keep may not have the name of a column of the result.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
 from array import array
@@ -53,7 +54,9 @@ UNKNOWN_PENALTY = 10.0
 N_BEST = 3
 LITTLE = sys.byteorder == "little"
 #: Bytes of parts that a worker keeps with their segmentations, about, and of an entry besides its text.
-PARTS_BYTES, ENTRY_BYTES = 96 << 20, 300
+PARTS_BYTES, ENTRY_BYTES = 64 << 20, 200
+#: What is kept of a part is one value, this and its ids: the score, and what the second best loses.
+KEPT = struct.Struct("=dd")
 #: Ids from which on they are decoded as arrays.
 MANY_IDS = 64
 #: Scores are multiples of 1 / GRID.
@@ -114,7 +117,7 @@ class Pieces:
         # spaces with what follows and line ends are parts, unless a piece has a space or a line end after another character
         apart = not any("\n" in p and len(p) > 1 or SPACE in p.lstrip(SPACE) for p in pieces)
         self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if apart else r"[\s\S]+")
-        self.kept = Recent(self.of_part, PARTS_BYTES, ENTRY_BYTES)
+        self.kept = Recent(lambda part: self.packed(self.of_part(part)), PARTS_BYTES, ENTRY_BYTES)
 
     @staticmethod
     def nodes(pieces: dict[str, tuple[int, float]]) -> dict:
@@ -261,6 +264,11 @@ class Pieces:
 
     of_atom = of_part
 
+    @staticmethod
+    def packed(found: tuple[bytes, float, float]) -> bytes:
+        ids, score, loss = found
+        return KEPT.pack(score, loss) + ids
+
     def parts(self, text: str | None) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -271,7 +279,7 @@ class Pieces:
         older = {x: kept.older[x] for x in wanted.intersection(kept.older)}
         kept.keep_all(older.items())
         new = sorted(wanted.difference(older))
-        kept.keep_all(zip(new, self.of_parts(new), strict=True))
+        kept.keep_all(zip(new, map(self.packed, self.of_parts(new)), strict=True))
 
     def n_best(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a text, best first."""
@@ -288,8 +296,10 @@ class Pieces:
         if not text:
             return [(0.0, np.empty(0, "<i4"), [])]
         parts = self.parts(text) if parts is None else parts
-        best, scores, losses = zip(*map(self.kept.__getitem__, parts), strict=True)
-        base, losses = sum(scores), np.array(losses)
+        found = list(map(self.kept.__getitem__, parts))
+        best = [x[KEPT.size :] for x in found]
+        scores, losses = np.frombuffer(b"".join([x[: KEPT.size] for x in found])).reshape(-1, 2).T
+        base = float(scores.sum())
         order = np.argsort(losses, kind="stable")[: self.n - 1]
         options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         others: dict[int, list[tuple[float, bytes]]] = {}
@@ -353,31 +363,35 @@ def _encoded(path: str, n: int, with_ids: bool, keep: list[str]):
     """Batches with text to a row for each segmentation. decoded_equal compares with the text, with U+2581 read as a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, speller = loaded(path, n)
         for batch in sliced(batches):
-            rows, place = [], []
-            texts = batch.column("__text").to_pylist()
-            parts = [model.parts(x) for x in texts]
-            model.learn(parts)
-            for i, text in enumerate(texts):
-                plain = (text or "").replace(SPACE, " ")
-                equal = False
-                for rank, (score, ids, changes) in enumerate(model.segmentations(text, parts[i]), 1):
-                    if equal:  # the best gives the text back; the others differ from it in these parts only
-                        same = all(speller.raw(np.frombuffer(new, "<i4")) == part.encode("utf-8", "surrogatepass") for part, new in changes)
-                    else:
-                        same = equal = speller.text(ids) == plain
-                    rows.append((rank, score, len(ids), zlib.crc32(ids.tobytes()), same, ids if with_ids else None))
-                    place.append(i)
-            took = pa.array(place, pa.int64())
-            kept = [batch.column(c).take(took) for c in keep]
-            types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            if with_ids:
-                offsets = np.r_[0, np.cumsum([len(r[5]) for r in rows])].astype(np.int32)
-                made.append(pa.ListArray.from_arrays(offsets, np.concatenate([r[5] for r in rows]) if rows else np.empty(0, np.int32)))
-            names = ["rank", "score", "n_pieces", "ids_crc32", "decoded_equal", *["ids"] * with_ids]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, *names])
+            yield encoded(batch)  # what is made on the way goes before the next slice
+
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model, speller = loaded(path, n)
+        rows, place = [], []
+        texts = batch.column("__text").to_pylist()
+        one: dict[str, str] = {}  # equal parts are one string
+        parts = [[one.setdefault(p, p) for p in model.parts(x)] for x in texts]
+        model.learn(parts)
+        for i, text in enumerate(texts):
+            plain = (text or "").replace(SPACE, " ")
+            equal = False
+            for rank, (score, ids, changes) in enumerate(model.segmentations(text, parts[i]), 1):
+                if equal:  # the best gives the text back; the others differ from it in these parts only
+                    same = all(speller.raw(np.frombuffer(new, "<i4")) == part.encode("utf-8", "surrogatepass") for part, new in changes)
+                else:
+                    same = equal = speller.text(ids) == plain
+                rows.append((rank, score, len(ids), zlib.crc32(ids.tobytes()), same, ids if with_ids else None))
+                place.append(i)
+        took = pa.array(place, pa.int64())
+        kept = [batch.column(c).take(took) for c in keep]
+        types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+        made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+        if with_ids:
+            offsets = np.r_[0, np.cumsum([len(r[5]) for r in rows])].astype(np.int32)
+            made.append(pa.ListArray.from_arrays(offsets, np.concatenate([r[5] for r in rows]) if rows else np.empty(0, np.int32)))
+        names = ["rank", "score", "n_pieces", "ids_crc32", "decoded_equal", *["ids"] * with_ids]
+        return pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, *names])
 
     return run
 
