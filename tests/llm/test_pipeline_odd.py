@@ -66,7 +66,7 @@ def test_parts_take_little_memory():
         held = tracemalloc.get_traced_memory()[0]
     finally:
         tracemalloc.stop()
-    assert len(model.kept) == len(parts) and held < len(parts) * 200
+    assert len(model.kept) == len(parts) and held < len(parts) * 130
 
 
 def test_equal_parts_of_a_batch_are_one_string(monkeypatch):
