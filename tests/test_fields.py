@@ -421,3 +421,29 @@ def test_lint(spark, stored):
     assert [f.rule for f in lint(stored.where(F.col("Email") != "x"))] == ["P002"]
     assert lint(stored) == lint(stored.select("Id", "PlainName")) == lint(stored.where("PlainName = 'x'")) == []
     assert Treatment.SEARCHABLE.value in stored.schema["Email"].metadata["veilframe"]["treatment"]
+
+
+def test_batches_at_once(spark, tmp_path):
+    """planned and resumed give what batches give one by one, from the start, from a token, and where keys come twice or a token's row is gone."""
+    spec, path, token = customer(), str(tmp_path / "t"), migrate.ResumeToken
+    plain = spark.range(-7, 20).selectExpr("cast(id as int) Id", "concat('m', id) Email", "cast(id as string) Phone", "cast(null as binary) Ssn", "'' PlainName")
+    parts = [codec.encrypt(plain.where(F.pmod("Id", F.lit(3)) == v - 1), spec, THREE, "acme", key_id=THREE.key_id("acme", v)) for v in (1, 2, 3)]
+    parts[0].union(parts[1]).union(parts[2]).write.parquet(path)
+    stored, options = spark.read.parquet(path), migrate.BatchOptions(10)
+    where = lambda tokens, df: {(r.Id, r.batch) for r in migrate.resumed(df, spec, THREE, "acme", "Id", tokens).select("Id", "batch").collect()}
+    one_by_one = list(migrate.batches(stored, spec, THREE, "acme", "Id", options))
+    results = migrate.planned(stored, spec, THREE, "acme", "Id", options)
+    assert results == [r for _, r in one_by_one] and [r.processed for r in results] == [10, 10, 7]
+    tokens = [None, *(r.next for r in results if r.has_more)]
+    assert where(tokens, stored) == {(r.Id, n) for n, (rows, _) in enumerate(one_by_one, 1) for r in rows.select("Id").collect()}
+    assert migrate.planned(stored, spec, THREE, "acme", "Id", options, results[0].next) == results[1:]
+    gone = stored.where("Id <> 2").union(stored.where("Id = 3"))
+    found = migrate.resumed(gone, spec, THREE, "acme", "Id", [token("2"), token("12")]).select("Id", "batch").collect()
+    assert sorted((r.Id, r.batch) for r in found) == sorted([(3, 1), *((k, 1 if k < 13 else 2) for k in range(3, 20))])
+    assert where([None], stored.withColumn("Id", F.nullif("Id", F.lit(0)))) == {(k or None, 1) for k in range(-7, 20)}
+    assert migrate.planned(stored.limit(0), spec, THREE, "acme", "Id") == []
+    newest = LocalKeyProvider({3: bytes([51]) * 32}, 3)
+    back = codec.decrypt(migrate.resumed(stored, spec, THREE, "acme", "Id", tokens), spec, newest, "acme").select("Id", "Email", "Phone")
+    assert sorted(map(tuple, back.collect())) == [(k, f"m{k}", str(k)) for k in range(-7, 20)]
+    with pytest.raises(ValueError, match="batch"):
+        migrate.resumed(stored.withColumn("batch", F.lit(1)), spec, THREE, "acme", "Id", [None])

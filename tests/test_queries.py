@@ -21,6 +21,22 @@ def test_batches_write_every_customer(spark, small):
     assert sum(r.migrated + r.skipped for r in counts.collect()) == want.count() > 120
 
 
+def _jobs(spark, name, run):
+    """Spark jobs that run starts in its thread."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_batches(spark, small):
+    before = queries.stored_rotated(spark, small)
+    few, many = (_jobs(spark, f"batches of {n}", lambda n=n: queries._batched(spark, before, queries.migrate.BatchOptions(n))[1].collect()) for n in (75, 10))
+    assert 0 < few and many <= few + 4
+
+
 def test_upsert_takes_every_customer(spark, small, monkeypatch):
     seen, plain = [], queries.write.upsert
     monkeypatch.setattr(queries.write, "upsert", lambda stored, changes, *rest: seen.append(changes.count()) or plain(stored, changes, *rest))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.envelope import checked, let, parse
@@ -13,6 +13,7 @@ from veilframe.operators.codec import _shaped, envelope_bytes, envelope_column,
 from veilframe.operators.ring import RING, read_ring, write_ring
 from veilframe.plans.spec import EntitySpec, FieldSpec
 from veilframe.sources.keys import KeyProvider
+from veilframe.sources.store import settled, written
 
 DEFAULT_BATCH = 500
 
@@ -130,24 +131,95 @@ class Progress:
         )
 
 
+def _after(stored: DataFrame, key: str, start: ResumeToken | None) -> DataFrame:
+    return stored if start is None else stored.where(F.col(key) > F.lit(start.cursor).cast(stored.schema[key].dataType))
+
+
+def _any_old(spec: EntitySpec, provider: KeyProvider, tenant: str) -> Column:
+    """Whether any field of a row is under an older key."""
+    current, old = provider.current_key_id(tenant), F.lit(False)
+    for f in spec.fields:
+        old = old | needs_reencryption(F.col(f"`{f.name}`"), f, current)
+    return old
+
+
 def batches(stored: DataFrame, spec: EntitySpec, provider: KeyProvider, tenant: str, key: str, options: BatchOptions = BatchOptions(), start: ResumeToken | None = None) -> Iterator[tuple[DataFrame, BatchResult]]:
     """An extension: re-encrypted rows in batches by a unique, ordered key column, from a cursor on. The caller writes each.
 
-    For tables of a cluster's size use reencrypt, which is one job; batches
-    are for stores that take a few rows at a time.
+    Each batch has jobs of its own over the whole table, for stores that take a
+    few rows at a time. For tables of a cluster's size use planned and resumed,
+    which do all batches in a few jobs, or reencrypt, which has no batches.
     """
     kind = stored.schema[key].dataType
     cursor = start
     while True:
-        rest = stored if cursor is None else stored.where(F.col(key) > F.lit(cursor.cursor).cast(kind))
-        part = rest.orderBy(key).limit(options.batch_size)
-        current = provider.current_key_id(tenant)
-        old = F.lit(False)
-        for f in spec.fields:
-            old = old | needs_reencryption(F.col(f"`{f.name}`"), f, current)
+        part = _after(stored, key, cursor).orderBy(key).limit(options.batch_size)
+        old = _any_old(spec, provider, tenant)
         n, migrated, last = part.agg(F.count(F.lit(1)), F.coalesce(F.sum(old.cast("int")), F.lit(0)), F.max(key).cast("string")).first()
         more = n == options.batch_size and not stored.where(F.col(key) > F.lit(last).cast(kind)).isEmpty()
         cursor = ResumeToken(last) if more else None
         yield reencrypt(part, spec, provider, tenant), BatchResult(migrated=migrated, skipped=n - migrated, next=cursor)
         if cursor is None:
             return
+
+
+#: Bits of monotonically_increasing_id that count within a partition.
+_PLACE_BITS = 33
+
+
+def planned(stored: DataFrame, spec: EntitySpec, provider: KeyProvider, tenant: str, key: str, options: BatchOptions = BatchOptions(), start: ResumeToken | None = None) -> list[BatchResult]:
+    """The results of all batches from a cursor on, without their rows, from keys and headers in a few jobs; none for no rows.
+
+    Keys are sorted in ranges; a key's place is that in its range, after the
+    ranges before, so no task sees all keys. The driver gets a row for each
+    range and for each batch.
+    """
+    spark = stored.sparkSession
+
+    def made() -> DataFrame:
+        # written before the ranges are sampled, so that headers are parsed once
+        keys = written(_after(stored, key, start).select(F.col(f"`{key}`").alias("key"), _any_old(spec, provider, tenant).alias("old")), "keys")
+        placed = written(keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("place", F.monotonically_increasing_id()), "places")
+        placed = placed.select("key", "old", F.shiftright("place", _PLACE_BITS).alias("range"), F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("place"))
+        ahead, spans = 0, []
+        for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():
+            spans.append((r["range"], ahead))
+            ahead += r["n"]
+        ranges = F.broadcast(spark.createDataFrame(spans, "range long, ahead long"))
+        batch = F.floor((F.col("ahead") + F.col("place")) / F.lit(options.batch_size))
+        return placed.join(ranges, "range").groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count_if("old").alias("migrated"), F.max("key").cast("string").alias("last"))
+
+    found = settled(spark, made, "plan").orderBy("batch").collect()
+    return [BatchResult(migrated=r["migrated"], skipped=r["n"] - r["migrated"], next=ResumeToken(r["last"]) if i < len(found) else None) for i, r in enumerate(found, 1)]
+
+
+def resumed(stored: DataFrame, spec: EntitySpec, provider: KeyProvider, tenant: str, key: str, tokens: Sequence[ResumeToken | None], column: str = "batch") -> DataFrame:
+    """Many batches at once: re-encrypted rows, with the number of their batch, which counts tokens from 1. The caller writes them.
+
+    A batch has the rows after its token (None: from the first row on), up to the
+    next token's row; rows up to the first token are left out. Rows and tokens are
+    sorted together in ranges of the key, and a range begins with the
+    batch in which the one before ended.
+    """
+    if column in stored.columns:
+        raise ValueError(f"there is a column {column} already")
+    spark, kind, order = stored.sparkSession, stored.schema[key].dataType, ("key", "mark")
+
+    def made() -> DataFrame:
+        starts = spark.createDataFrame([(None if t is None else t.cursor, i) for i, t in enumerate(tokens, 1)], "cursor string, batch long")
+        # a token follows its row, the start comes before a null key
+        starts = starts.select(F.col("cursor").cast(kind).alias("key"), F.when(F.col("cursor").isNull(), F.lit(-1)).otherwise(F.lit(1)).alias("mark"), "batch")
+        keys = stored.select(F.col(f"`{key}`").alias("key"), F.lit(0).alias("mark"), F.lit(None).cast("long").alias("batch"))
+        ranged = written(keys.union(starts).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+        carried, spans = None, []
+        for r in ranged.groupBy("range").agg(F.max_by("batch", F.when(F.col("mark") != 0, F.struct(*order))).alias("last")).orderBy("range").collect():
+            spans.append((r["range"], carried))
+            carried = carried if r["last"] is None else r["last"]
+        ranges = F.broadcast(spark.createDataFrame(spans, "range int, carried long"))
+        latest = F.last("batch", ignorenulls=True).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        of_rows = ranged.withColumn("batch", latest).where("mark = 0").join(ranges, "range")
+        return of_rows.select(F.col("key").alias("__key"), F.coalesce("batch", "carried").alias(column)).where(F.col(column).isNotNull()).dropDuplicates(["__key"])
+
+    dealt = settled(spark, made, "dealt")
+    joined = stored.join(dealt, F.col(f"`{key}`").eqNullSafe(F.col("__key"))).drop("__key")
+    return reencrypt(joined, spec, provider, tenant)

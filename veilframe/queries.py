@@ -249,17 +249,17 @@ def reencrypt_whole_table(spark, sf_dir):
 
 def _batched(spark, before, options):
     """What the batches wrote, and a row for each batch, counted from the written rows: migrated ones have other bytes and the current key."""
-    done, parts, progress = [], [], migrate.Progress()
+    results = migrate.planned(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", options)
+    renewed = written(migrate.resumed(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", [None, *(r.next for r in results if r.has_more)]), "batches")
     old = before.select("c_custkey", F.col("c_name").alias("before"))
     current = ~migrate.needs_reencryption(F.col("c_name"), CUSTOMER.field("c_name"), PROVIDER.current_key_id(TENANT))
-    for renewed, result in migrate.batches(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", options):
-        parts.append(written(renewed, "batch"))
-        same = F.col("c_name") == F.col("before")
-        counts = (F.sum((~same & current).cast("int")), F.sum((same & current).cast("int")))
-        migrated, skipped = parts[-1].join(old, "c_custkey").agg(*(F.coalesce(c, F.lit(0)) for c in counts)).first()
-        progress = progress.after(migrate.BatchResult(migrated=migrated, skipped=skipped, next=result.next))
-        done.append((progress.batches, migrated, skipped, progress.processed, progress.is_complete))
-    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(done, "batch long, migrated long, skipped long, total long, complete boolean")
+    same = F.col("c_name") == F.col("before")
+    counts = renewed.join(old, "c_custkey").groupBy("batch").agg(F.count_if(~same & current).alias("migrated"), F.count_if(same & current).alias("skipped"))
+    done, progress = [], migrate.Progress()
+    for r in counts.orderBy("batch").collect():
+        progress = progress.after(migrate.BatchResult(migrated=r.migrated, skipped=r.skipped, next=results[r.batch - 1].next))
+        done.append((progress.batches, r.migrated, r.skipped, progress.processed, progress.is_complete))
+    return renewed.drop("batch"), spark.createDataFrame(done, "batch long, migrated long, skipped long, total long, complete boolean")
 
 
 def upsert_keeps_bytes(spark, sf_dir):
