@@ -37,6 +37,18 @@ def test_jobs_do_not_grow_with_batches(spark, small):
     assert 0 < few and many <= few + 4
 
 
+def test_resumed_batches_are_written_at_once(spark, small, monkeypatch):
+    from veilframe import queries_keys
+
+    made, plain, options = [], queries_keys.written, queries.migrate.BatchOptions(10)
+    monkeypatch.setattr(queries_keys, "written", lambda df, label: made.append(label) or plain(df, label))
+    for name in ("planned", "batches"):  # batches of ten, so that the small table has many
+        monkeypatch.setattr(queries.migrate, name, lambda *given, f=getattr(queries.migrate, name), **more: f(*given, options=options, **more))
+    got = [tuple(r) for r in queries_keys.resume_batches(spark, small).collect()]
+    assert [r[0] for r in got] == list(range(1, len(got) + 1)) and len(got) >= 15 and len(made) == 1
+    assert all(a[2] < b[1] and a[3] + a[4] == 10 for a, b in zip(got, got[1:])) and [r[5] for r in got] == [True] * (len(got) - 1) + [False]
+
+
 def test_upsert_takes_every_customer(spark, small, monkeypatch):
     seen, plain = [], queries.write.upsert
     monkeypatch.setattr(queries.write, "upsert", lambda stored, changes, *rest: seen.append(changes.count()) or plain(stored, changes, *rest))

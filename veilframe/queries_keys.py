@@ -235,15 +235,14 @@ def blind_index_unicode(spark, sf_dir):
 
 
 def resume_batches(spark, sf_dir):
-    """Batches that are broken off after each one and resumed from the token's text."""
-    before, start, done = stored_rotated(spark, sf_dir), None, []
-    while True:
-        renewed, result = next(migrate.batches(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", start=start))
-        keys = written(renewed, "batch").agg(F.min("c_custkey"), F.max("c_custkey")).first()
-        done.append((len(done) + 1, keys[0], keys[1], result.migrated, result.skipped, result.has_more))
-        if not result.has_more:
-            return spark.createDataFrame(done, "batch long, first_key long, last_key long, migrated long, skipped long, has_more boolean")
-        start = migrate.ResumeToken(str(result.next))
+    """Batches that each begin anew from the text of the token before, all at once; their keys are those of the rows written."""
+    before = stored_rotated(spark, sf_dir)
+    results = migrate.planned(before, CUSTOMER, PROVIDER, TENANT, "c_custkey")
+    tokens = [None, *(migrate.ResumeToken(str(r.next)) for r in results if r.has_more)]
+    renewed = written(migrate.resumed(before, CUSTOMER, PROVIDER, TENANT, "c_custkey", tokens), "batches")
+    keys = {r.batch: (r.first_key, r.last_key) for r in renewed.groupBy("batch").agg(F.min("c_custkey").alias("first_key"), F.max("c_custkey").alias("last_key")).collect()}
+    done = [(n, *keys[n], r.migrated, r.skipped, r.has_more) for n, r in enumerate(results, 1)]
+    return spark.createDataFrame(done, "batch long, first_key long, last_key long, migrated long, skipped long, has_more boolean")
 
 
 def search_exists(spark, sf_dir):
